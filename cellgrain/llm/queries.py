@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import bpe, exact_dedup
 from .common import documents
 
 
@@ -12,6 +12,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir), keep="max")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_bpe_round_trip": op3_bpe_round_trip}
 
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}
