@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, toxicity
 from .common import documents
 
 
@@ -18,6 +18,14 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_bpe_round_trip": op3_bpe_round_trip}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op7_toxicity": op7_toxicity,
+}
 
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}
