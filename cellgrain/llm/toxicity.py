@@ -27,6 +27,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -240,8 +241,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scorer(docs: DataFrame, model: Model):
     """A column function: the score of a text column."""
-    import pandas as pd
-
     known = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     @F.pandas_udf("double")
