@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, toxicity
+from . import bpe, exact_dedup, toxicity, url_filter
 from .common import documents
 
 
@@ -22,10 +22,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op7_toxicity": op7_toxicity,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}
