@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, toxicity, url_filter
+from . import bpe, exact_dedup, mixing, toxicity, url_filter
 from .common import documents
 
 
@@ -26,10 +26,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.taken(documents(spark, sf_dir))
+    return out.select("doc_id", "size", "source_size", "target", (out["times"] * out["size"]).alias("taken"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op7_toxicity": op7_toxicity,
+    "op8_mixing": op8_mixing,
     "op10_url_filter": op10_url_filter,
 }
 
