@@ -33,3 +33,50 @@ def ascii_lower(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once for a row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]
+
+
+def regex_spans(text: Column, pattern: str, groups: int = 0) -> Column:
+    """Leftmost non-overlapping matches: array of struct(start, end, match, group), offsets in code points, end exclusive.
+
+    SQL functions give the matches and, by splitting, the texts between them; offsets are
+    running sums of their lengths. Sums are taken by blocks of 128, which keeps a text of
+    very many matches from costing the square of their number.
+    """
+    block = 128
+
+    def over_steps(found: Column, between: Column, group: Column) -> Column:
+        steps = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(between, i)))
+        zero = F.lit(0)
+
+        def total(part: Column) -> Column:
+            return F.aggregate(part, zero, lambda a, x: a + x)
+
+        def with_steps(steps: Column) -> Column:
+            n = F.size(steps)
+            blocks = F.transform(F.sequence(zero, F.floor((n - 1) / block).cast("int")), lambda b: total(F.slice(steps, b * block + 1, block)))
+
+            def with_blocks(sums: Column) -> Column:
+                before = F.transform(sums, lambda s, b: total(F.slice(sums, 1, b)))
+
+                def with_before(before: Column) -> Column:
+                    def one(m: Column, i: Column) -> Column:
+                        b = F.floor(i / block).cast("int")
+                        end = F.get(before, b) + total(F.slice(steps, b * block + 1, i - b * block + 1))
+                        return F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match"), F.get(group, i).alias("group"))
+
+                    return F.transform(found, one)
+
+                return let(before, with_before)
+
+            return let(blocks, with_blocks)
+
+        return let(steps, with_steps)
+
+    empty = F.array().cast("array<struct<start:int,end:int,match:string,group:string>>")
+
+    def from_found(found: Column) -> Column:
+        group = F.regexp_extract_all(text, F.lit(pattern), F.lit(groups)) if groups else found
+        some = let(F.struct(F.split(text, pattern, -1).alias("between"), group.alias("group")), lambda x: over_steps(found, x["between"], x["group"]))
+        return F.when(F.size(found) == 0, empty).otherwise(some)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), from_found)
