@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, secrets, toxicity, url_filter
+from . import bpe, exact_dedup, fingerprint, mixing, secrets, toxicity, url_filter
 from .common import documents
 
 
@@ -22,6 +22,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_next(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_secrets": op4_secrets,
+    "op5_fingerprints": op5_fingerprints,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op10_url_filter": op10_url_filter,
