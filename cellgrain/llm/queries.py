@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, mixing, secrets, toxicity, url_filter
+from . import bpe, exact_dedup, fingerprint, licenses, mixing, secrets, toxicity, url_filter
 from .common import documents
 
 
@@ -30,6 +31,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths; source, language and id stand for them."""
+    docs = documents(spark, sf_dir)
+    return licenses.scan(docs, F.concat_ws("/", "source", "lang", "doc_id"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -46,6 +53,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
+    "op9_licenses": op9_licenses,
     "op10_url_filter": op10_url_filter,
 }
 
