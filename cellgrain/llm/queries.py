@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, licenses, mixing, secrets, toxicity, url_filter
+from . import bpe, exact_dedup, fingerprint, licenses, mixing, pii, secrets, toxicity, url_filter
 from .common import documents
 
 
@@ -27,6 +27,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(documents(spark, sf_dir))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(documents(spark, sf_dir)))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_secrets": op4_secrets,
     "op5_fingerprints": op5_fingerprints,
+    "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op9_licenses": op9_licenses,
