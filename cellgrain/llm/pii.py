@@ -280,7 +280,11 @@ def digest(scanned: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and spans as text."""
     line = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(k) for k in BASE]
     return scanned.select("doc_id", *counts, F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", line), ",").alias("spans"))
 
 
