@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, licenses, mixing, pii, secrets, toxicity, url_filter
+from . import bpe, exact_dedup, fingerprint, licenses, mixing, ngram_join, pii, secrets, toxicity, url_filter
 from .common import documents
 
 
@@ -13,6 +13,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir), keep="max")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,6 +56,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_ngram_join": op2_ngram_join,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_secrets": op4_secrets,
     "op5_fingerprints": op5_fingerprints,
