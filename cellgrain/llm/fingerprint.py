@@ -111,7 +111,8 @@ def packed(values: Column) -> Column:
             out = F.shiftleft(out, BITS).bitwiseOR(byte)
         return F.lpad(F.hex(out), 64 // 4, "0")
 
-    return F.coalesce(F.lower(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BINS // each - 1)), word), "")), F.lit(NOTHING))
+    text = F.lower(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BINS // each - 1)), word), ""))
+    return F.when(values.isNull(), NOTHING).otherwise(text)
 
 
 def likeness(a: Column, b: Column) -> Column:
