@@ -60,7 +60,7 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain, the Unlicense license."),
 )
 
-TRIGGER = r"(?i)licen[sc]e|copyright|all\W+rights\W+reserved|public domain|redistribut"
+TRIGGER = r"(?i)licen[sc]e|copyright|all\W+rights\W+reserved|public domain|redistribut|permission\W+is\W+hereby"
 SENTENCE = r"[\r\n]+|(?<=[\p{L}\p{N})]\.)\s+(?=\p{Lu})"
 LICENCE_FILE = r"(?i)^(un)?licen[sc]es?([.-].*)?$|^copying([.-].*)?$|^copyright([.-].*)?$|^notice([.-].*)?$"
 
