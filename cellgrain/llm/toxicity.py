@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 
 TOXIC_ROWS, CLEAN_ROWS, SEED = 4000, 8000, 7
 THRESHOLD = 0.3
+#: How often a label is taken to be wrong.
+ANNOTATOR = 0.005
 #: Most lexicon entries that are drawn from the sample.
 MINED = 400
 
@@ -148,7 +150,7 @@ def label_model(votes: np.ndarray, said: np.ndarray, prior: float, rounds: int =
     """
     n, k = votes.shape
     silent = ~votes.any(axis=1)
-    known = np.where(said == 1, 1.0, -1.0) * np.log(0.98 / 0.02)
+    known = np.where(said == 1, 1.0, -1.0) * np.log((1 - ANNOTATOR) / ANNOTATOR)
     post = np.where(said == 1, 0.9, 0.05)
     share, corr = np.ones(k), np.zeros((k, k))
     rate = np.full((2, k), 1e-5)

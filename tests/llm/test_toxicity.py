@@ -63,7 +63,5 @@ def test_label_model_finds_rates_and_correlations():
     votes = (draw.random((4000, 4)) < np.where(y[:, None], [0.7, 0.6, 0.5, 0.0], [0.01, 0.02, 0.01, 0.0])).astype(float)
     votes[:, 3] = votes[:, 0] * (draw.random(4000) < 0.95)  # says what voter 0 says
     post, rate, corr = toxicity.label_model(votes, y.astype(int), 0.2)
-    # 6 % of the toxic rows draw no vote at all; those are beyond any model of votes.
-    voted = votes.any(axis=1)
-    assert np.mean((post > 0.5) == y) > 0.97 and np.mean((post > 0.5)[voted] == y[voted]) > 0.97
+    assert np.mean((post > 0.5) == y) > 0.98
     assert abs(rate[1, 0] - 0.7) < 0.05 and corr[0, 3] > 0.5 and abs(corr[0, 1]) < 0.2
