@@ -33,11 +33,13 @@ def save(catalog: Catalog, spark: SparkSession, path: str, compression: str = "z
         table = h.table if h.table is not None else h.climb(_members(catalog, child)).select(child, parent).distinct()
         table.write.mode("overwrite").option("compression", compression).parquet(f"{path}/hierarchies/{i}")
         manifest["hierarchies"].append({"child": child, "parent": parent, "rows": h.rows})
-    for role in catalog.roles.values():
+    for i, role in enumerate(catalog.roles.values()):
         grants = {}
-        for axis, g in role.grants.items():
-            allowed = [r[0] for r in g.allowed.collect()] if isinstance(g.allowed, DataFrame) else g.allowed
-            grants[axis] = {"allowed": allowed, "can_project": g.can_project}
+        for j, (axis, g) in enumerate(role.grants.items()):
+            table = f"roles/{i}/{j}" if isinstance(g.allowed, DataFrame) else None
+            if table:
+                g.allowed.select(axis).write.mode("overwrite").option("compression", compression).parquet(f"{path}/{table}")
+            grants[axis] = {"allowed": None if table else g.allowed, "table": table, "can_project": g.can_project}
         manifest["roles"].append({"name": role.name, "permissive": role.permissive, "grants": grants})
     spark.createDataFrame([(json.dumps(manifest, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
@@ -72,7 +74,7 @@ def load(spark: SparkSession, path: str) -> Catalog:
         out.add_hierarchy(Hierarchy(entry["child"], entry["parent"], spark.read.parquet(f"{path}/hierarchies/{i}"), rows=entry["rows"]))
     for entry in manifest["roles"]:
         role = out.roles[entry["name"]] = Role(entry["name"], entry["permissive"])
-        role.grants = {axis: Grant(g["allowed"], g["can_project"]) for axis, g in entry["grants"].items()}
+        role.grants = {axis: Grant(spark.read.parquet(f"{path}/{g['table']}") if g["table"] else g["allowed"], g["can_project"]) for axis, g in entry["grants"].items()}
     return out
 
 
