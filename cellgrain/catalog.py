@@ -10,7 +10,7 @@ from collections import deque
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,6 +129,12 @@ class Dimension:
             out = out & (c <= high if inclusive else c < high)
         return out
 
+    def attribute_mask(self, attribute: str, holds: Callable[[Column], Column]) -> DataFrame:
+        """The keys whose attribute meets a condition."""
+        if self.table is None or attribute not in self.attributes:
+            raise KeyError(f"dimension {self.name!r} has no attribute {attribute!r}")
+        return self.table.where(holds(F.col(f"`{attribute}`"))).select(self.name)
+
 
 @dataclass
 class Hierarchy:

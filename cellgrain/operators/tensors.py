@@ -84,6 +84,20 @@ class Tensor:
         row = self.df.agg(F.sum("value").alias("value")).first()
         return row["value"] or 0.0
 
+    def save(self, path: str, compression: str = "zstd", partition_by: Sequence[str] = ()) -> None:
+        """Cells as Parquet; axes and sizes go with them as the table's own metadata."""
+        shape = {"axes": list(self.axes), "sizes": [self.sizes.get(a, 0) for a in self.axes]}
+        df = self.df.withColumn("value", F.col("value").alias("value", metadata=shape))
+        df.write.mode("overwrite").option("compression", compression).partitionBy(*partition_by).parquet(path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, condition: Column | str | None = None) -> Tensor:
+        """A stored tensor, lazily: ``condition`` is pushed to the files."""
+        df = spark.read.parquet(path)
+        shape = df.schema["value"].metadata
+        sizes = {a: n for a, n in zip(shape["axes"], shape["sizes"]) if n}
+        return cls(df.where(condition) if condition is not None else df, shape["axes"], sizes)
+
     @property
     def rank(self) -> int:
         return len(self.axes)

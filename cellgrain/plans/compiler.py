@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..catalog import Catalog, Cube
+from ..catalog import Catalog, Cube, dense_ordinals
 from ..errors import AccessDenied, BindError
 from . import nodes as n
 from .terms import Mask, Measure, Term, conditions_of, conjuncts, names_of, normalize
@@ -426,16 +426,14 @@ class Compiler:
     def _term(self, t: Term, df: DataFrame, count: bool) -> Column:
         """A term's value in a frame's row, or the number of rows it stands for."""
         cubes = t.cubes
-        out = F.lit(1).cast("long") if count else F.lit(t.coef)
-        for c in cubes:
-            out = out * F.col(f"`{c}#count`" if count else f"`{c}^{t.power(c)}`")
+        factors = [F.col(f"`{c}#count`" if count else f"`{c}^{t.power(c)}`") for c in cubes]
         if not cubes:
-            for c in [x for x in df.columns if x.endswith("#rows")]:
-                out = out * self._rows(c)
+            factors += [self._rows(c) for c in df.columns if c.endswith("#rows")]
         if not count:
-            for m in t.measures:
-                if m.of_dimension:
-                    out = out * F.col(f"`{m.owner}#{m.name}`")
+            factors += [F.col(f"`{m.owner}#{m.name}`") for m in t.measures if m.of_dimension]
+        if not factors or not count and t.coef != 1 or not count and not t.measures:
+            factors.insert(0, F.lit(1).cast("long") if count else F.lit(t.coef))
+        out = reduce(lambda a, b: a * b, factors)
         mask = self._mask(t.masks, df)
         return out if mask is None else F.when(mask, out)
 
@@ -681,11 +679,13 @@ class Compiler:
                 if axis in partition:
                     raise BindError(f"{a}: {axis!r} both orders and partitions")
                 at = f"__at_{axis}"
-                if at not in out.columns:
+                by_key = over.back is None and self._in_key_order(axis)
+                if not by_key and at not in out.columns:
                     positions = self._positions(axis).select(F.col(f"`{axis}`").alias("__key"), F.col("ordinal").alias(at))
                     out = out.join(positions, F.col(f"`{axis}`").eqNullSafe(F.col("__key")), "left").drop("__key")
                 partition = partition or [g for g in self.group if g != axis]
-                order = F.col(at).desc() if over.descending else F.col(at).asc()
+                by = F.col(f"`{axis}`") if by_key else F.col(at)
+                order = by.desc_nulls_first() if over.descending else by.asc_nulls_last()
                 window = Window.partitionBy(*[F.col(f"`{x}`") for x in partition]).orderBy(order)
                 window = window.rangeBetween(Window.unboundedPreceding if over.back is None else -over.back, 0)
                 fold = {"MIN": F.min, "MAX": F.max}.get(p["func"], F.sum)
@@ -699,17 +699,28 @@ class Compiler:
             values[a] = total
         return out, values
 
-    def _positions(self, axis: str) -> DataFrame:
-        d = self.catalog.dimension(axis)
-        if d._batches:
-            return d.members()
-        for (child, parent), h in self.catalog.hierarchies.items():
-            if parent == axis:  # a parent by expression: its members are those of its children's
-                from ..catalog import dense_ordinals
+    def _in_key_order(self, axis: str) -> bool:
+        """Whether the dictionary's order is that of the keys, as after a single load."""
+        return len(self.catalog.dimension(axis)._batches) <= 1
 
-                return dense_ordinals(h.climb(self._positions(child).select(child)), axis)
+    def _below(self, axis: str):
+        """The step by which an axis without members of its own is reached."""
+        for (_, parent), h in self.catalog.hierarchies.items():
+            if parent == axis:
+                return h
         raise BindError(f"dimension {axis!r} has no members")
 
+    def _keys(self, axis: str) -> DataFrame:
+        batches = self.catalog.dimension(axis)._batches
+        if batches:
+            return reduce(lambda a, b: a.unionByName(b), batches).distinct()
+        h = self._below(axis)
+        return h.climb(self._keys(h.child)).select(axis).distinct()
+
+    def _positions(self, axis: str) -> DataFrame:
+        d = self.catalog.dimension(axis)
+        return d.members() if d._batches else dense_ordinals(self._keys(axis), axis)
+
     def _value(self, expr, values: dict) -> Column:
         if isinstance(expr, n.Aggregate):
             return values[expr]

@@ -54,6 +54,21 @@ def test_more_axes_than_letters(spark):
     assert contract([t.rename(**{f"x{i}": f"a long name {i}"}) for i, t in enumerate(tensors)], []).item() == 1.0
 
 
+def test_sixty_operands(spark):
+    """More axes in one contraction than an index alphabet has letters."""
+    tensors = [Tensor.from_dense(spark, [[0.5, 1.0, 0.0], [0.5, 0.25, 1.0]], [f"x{i}", "k"]) for i in range(60)]
+    np.testing.assert_allclose(contract(tensors, ["k"]).to_dense(), [1.0, 1.25**60, 1.0])
+
+
+def test_save_and_open(spark, draw, tmp_path):
+    a = sparse(draw, (3, 4))
+    Tensor.from_dense(spark, a, ("row", "col")).save(str(tmp_path / "t"), partition_by=["row"])
+    again = Tensor.open(spark, str(tmp_path / "t"))
+    assert again.axes == ("row", "col") and again.sizes == {"row": 3, "col": 4}
+    np.testing.assert_allclose(again.to_dense(), a)
+    np.testing.assert_allclose(Tensor.open(spark, str(tmp_path / "t"), "row = 1").to_dense()[1], a[1])
+
+
 def test_projections(spark, draw):
     a = sparse(draw, (3, 4, 5))
     t = Tensor.from_dense(spark, a, "abc")
