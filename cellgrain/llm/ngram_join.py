@@ -38,7 +38,7 @@ WORDS = 5
 THRESHOLD = (4, 5)
 BANDS, ROWS, STEP = 32, 6, 16
 TOLERANCE = 1e-6
-BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Texts are sketched in stretches of about so many bytes.
 STRETCH = 4_000_000
 
@@ -353,10 +353,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     class_id = of_key.groupBy("label").agg(F.min("rep").alias("class_id"))
     of_key = of_key.join(class_id, "label").select("key", "class_id").join(links, "key")
     by_key = reps.select("key", "rep", "copies").join(of_key, "key", "left")
+    # A key in another guise, so that both sides of the last join are shuffled for it alone and a hot key's copies can be split.
     by_key = by_key.select(
-        "key", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("texts", F.lit(0)).alias("n_linked_texts")
+        F.hex("key").alias("hex"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("texts", F.lit(0)).alias("n_linked_texts")
     )
-    out = sketched.select("doc_id", "key").join(by_key, "key")
+    out = sketched.select("doc_id", "key", F.hex("key").alias("hex")).join(by_key, "hex")
     return out.select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), "n_linked_texts", "key")
 
 
