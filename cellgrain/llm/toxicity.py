@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,14 +53,22 @@ PATTERNS = {
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: A beginning's sign bears a mark for each of these counts that its words reach in the text.
+TIMES = (2, 4)
+
+
 def signs(text: str) -> set[str]:
-    """Every sign a lexicon entry may be: whole words as ``=word``, beginnings of 4 to 7 letters as they are."""
-    out: set[str] = set()
-    for word in set(_WORD.findall(text.lower())):
-        out.add("=" + word)
-        for n in (4, 5, 6, 7):
-            if len(word) >= n:
-                out.add(word[:n])
+    """Every sign a lexicon entry may be: whole words as ``=word``, beginnings of 4 to 7 letters as they are,
+    and with a ``+`` for each count of ``TIMES`` that words so beginning reach."""
+    words = Counter(_WORD.findall(text.lower()))
+    begin: Counter[str] = Counter()
+    for word, n in words.items():
+        for k in (4, 5, 6, 7):
+            if len(word) >= k:
+                begin[word[:k]] += n
+    out = {"=" + w for w in words} | set(begin)
+    for i, least in enumerate(TIMES, 1):
+        out |= {w + "+" * i for w, n in begin.items() if n >= least}
     return out
 
 
@@ -69,21 +78,29 @@ class Model:
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
         self.whole = {k[1:]: v for k, v in weights.items() if k[0] == "="}
-        self.begin = {k: v for k, v in weights.items() if k[0] not in "=?"}
+        self.begin: dict[str, list[tuple[int, float]]] = {}
+        for k, v in weights.items():
+            if k[0] not in "=?":
+                self.begin.setdefault(k.rstrip("+"), []).append(((1, *TIMES)[k.count("+")], v))
         self.patterns = [(PATTERNS[k], v) for k, v in weights.items() if k[0] == "?"]
         self.lengths = sorted({len(k) for k in self.begin})
 
     def score(self, text: str | None) -> float:
-        lower = (text or "").lower()
-        found: dict[str, float] = {}
-        for word in set(_WORD.findall(lower)):
-            if word in self.whole:
-                found["=" + word] = self.whole[word]
-            for n in self.lengths:
-                if (start := word[:n]) in self.begin and len(start) == n:
-                    found[start] = self.begin[start]
+        z, any_sign, begun = self.bias, False, Counter()
+        whole, begin = self.whole, self.begin
+        for word, n in Counter(_WORD.findall((text or "").lower())).items():
+            if word in whole:
+                z += whole[word]
+                any_sign = True
+            for k in self.lengths:
+                if (start := word[:k]) in begin and len(start) == k:
+                    begun[start] += n
+        for start, n in begun.items():
+            z += sum(w for least, w in begin[start] if n >= least)
+            any_sign = True
         # Patterns are made of insults, so a text without any sign can't match one.
-        z = self.bias + sum(found.values()) + (sum(w for p, w in self.patterns if p.search(text)) if found else 0.0)
+        if any_sign:
+            z += sum(w for p, w in self.patterns if p.search(text))
         return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
 
@@ -127,14 +144,14 @@ def _mine(rows: list[tuple[str, int]]) -> list[str]:
             lift[s] = (gain, n)
     families: dict[str, list[str]] = {}
     for t in lift:
-        families.setdefault(t.lstrip("=")[:4], []).append(t)
+        families.setdefault(t.strip("=+")[:4], []).append(t)
     best = []
     for s in sorted(lift, key=lambda s: (-lift[s][0], s)):
-        n, word = lift[s][1], s.lstrip("=")
+        n, word = lift[s][1], s.strip("=+")
         kin = [t for t in families[word[:4]] if t != s]
-        more_specific = [t for t in kin if s[0] != "=" and t.lstrip("=").startswith(word)]
-        wider = [t for t in kin if t[0] != "=" and word.startswith(t)]
-        if any(lift[t][1] >= 0.8 * n for t in more_specific) or any(lift[t][1] > 1.25 * n for t in wider):
+        narrower = [t for t in kin if s[0] != "=" and t.strip("=+").startswith(word) and t.count("+") >= s.count("+")]
+        wider = [t for t in kin if t[0] != "=" and word.startswith(t.rstrip("+")) and t.strip("+") != word and lift[t][0] > lift[s][0]]
+        if any(lift[t][1] >= 0.8 * n and lift[t][0] >= lift[s][0] for t in narrower) or any(lift[t][1] > 1.25 * n for t in wider):
             continue
         best.append(s)
     return best[:MINED]
