@@ -57,3 +57,16 @@ def test_scans_read_what_a_query_needs(spark, sf_dir):
     columns = re.search(r"FileScan parquet \[(.*?)\]", plan)[1]
     assert {c.split("#")[0] for c in columns.split(",")} == {"l_suppkey", "l_quantity", "l_shipdate"}
     assert "l_suppkey" in re.search(r"DataFilters: \[(.*?)\]", plan)[1]
+
+
+def test_jdbc(spark, tmp_path, monkeypatch):
+    """The executors' path: rows of a query by a JDBC url."""
+    spark._jvm.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url = "jdbc:derby:memory:facts"
+    spark.createDataFrame([(i % 3, float(i)) for i in range(10)], "A int, V double").write.jdbc(f"{url};create=true", "F")
+    df = loaders.read_sql(spark, "SELECT A, V FROM F WHERE V > 2", url)
+    e = Engine(spark)
+    e.load_frame(df, ["A"], "V", "f")
+    assert e.sql("SELECT A, SUM(V) AS s FROM f GROUP BY A").rows == [(0, 18.0), (1, 11.0), (2, 13.0)]
+    e.load_sql("SELECT A, V FROM F", url, ["A"], "V", "g")
+    assert e.sql("SELECT COUNT(*) AS n FROM g").rows == [(10,)]
