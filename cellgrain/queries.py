@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from .engine import Engine
 from .operators.tensors import Tensor, contract, convolve, suppressed
-from .sources import loaders
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
