@@ -31,7 +31,9 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG, STRETCH, STORE = 100, 250_000, 600_000
+from .common import give_back
+
+LONG, STRETCH, STORE = 100, 150_000, 400_000
 
 #: One contraction a step in each piece. ``k`` packs the merged token and the position of its left part.
 STEP = """
@@ -85,31 +87,52 @@ def read_ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines()) if token}
 
 
+#: Tables of the last vocabulary that a Python worker used, a few MB.
+_TABLES: dict[bytes, tuple] = {}
+
+
+def tables(ranks: dict[bytes, int]):
+    """The merge table (packed pair, id) and the vocabulary (id, bytes in hexadecimal) of ranks."""
+    import numpy as np
+    import pyarrow as pa
+
+    if max(ranks.values()) >= 65536:
+        raise ValueError("ranks of 65536 and more don't fit the packed pairs")
+    left, right, merged = [], [], []
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            if (a := ranks.get(token[:cut])) is not None and (b := ranks.get(token[cut:])) is not None:
+                left.append(a), right.append(b), merged.append(rank)
+    pair = np.array(left, dtype=np.int64) * 65536 + np.array(right, dtype=np.int64)
+    merges = pa.table({"pair": pa.array(pair), "id": pa.array(merged, pa.int32())})
+    vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array([token.hex() for token in ranks])})
+    return np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32), merges, vocabulary
+
+
 class Codec:
-    """Encoder and decoder of one task; holds a DuckDB connection of its own."""
+    """Encoder and decoder of one task; holds a DuckDB connection of its own until it is closed."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: str = "1GB"):
+    def __init__(self, lines: bytes, pattern: str, memory: str = "1GB"):
         import duckdb
-        import numpy as np
-        import pyarrow as pa
         import regex
 
         # The pattern's \s is Unicode's White_Space; that of the regex module also holds U+001C to U+001F.
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
-        self.first = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        left, right, merged = [], [], []
-        for token, rank in ranks.items():
-            for cut in range(1, len(token)):
-                if (a := ranks.get(token[:cut])) is not None and (b := ranks.get(token[cut:])) is not None:
-                    left.append(a), right.append(b), merged.append(rank)
-        pair = np.array(left, dtype=np.int64) * 65536 + np.array(right, dtype=np.int64)
-        if max(ranks.values()) >= 65536:
-            raise ValueError("ranks of 65536 and more don't fit the packed pairs")
-        self._table("merges", pa.table({"pair": pa.array(pair), "id": pa.array(merged, pa.int32())}))
-        hexed = [token.hex() for token in ranks]
-        self._table("vocabulary", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(hexed)}))
+        key = hashlib.sha256(lines).digest()
+        if key not in _TABLES:
+            _TABLES.clear()
+            _TABLES[key] = tables(read_ranks(lines))
+        self.first, merges, vocabulary = _TABLES[key]
+        self._table("merges", merges)
+        self._table("vocabulary", vocabulary)
+        self.forget()
+
+    def close(self) -> None:
+        """Give the memory back: a Python worker lives on and serves other tasks."""
         self.forget()
+        self.db.close()
+        give_back()
 
     def _table(self, name: str, rows) -> None:
         self.db.register("incoming", rows)
@@ -210,27 +233,19 @@ class Codec:
         return {doc: bytes.fromhex(text) for doc, text in out}
 
 
-#: A Python worker keeps its last codec for the tasks it runs later; what it knows of pieces is a function of the vocabulary alone.
-_LAST: dict[tuple[str, bytes], Codec] = {}
-
-
-def _codec(lines: bytes, pattern: str) -> Codec:
-    key = (pattern, hashlib.sha256(lines).digest())
-    if key not in _LAST:
-        _LAST.clear()
-        _LAST[key] = Codec(read_ranks(lines), pattern)
-    return _LAST[key]
-
-
 def _over_batches(docs: DataFrame, ranks_path: str, pattern: str, schema: str, work) -> DataFrame:
     with open(ranks_path, "rb") as file:  # on the driver; under a MB, so that executors need not have the file
         lines = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches):
         codec = None
-        for batch in batches:
-            codec = codec or _codec(lines.value, pattern)
-            yield from work(codec, batch)
+        try:
+            for batch in batches:
+                codec = codec or Codec(lines.value, pattern)
+                yield from work(codec, batch)
+        finally:
+            if codec:
+                codec.close()
 
     return docs.mapInArrow(run, schema)
 
@@ -254,29 +269,33 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool =
         import numpy as np
         import pyarrow as pa
 
-        texts = batch.column(1)
-        sums = {}
-        rows: dict[int, tuple] = {}
+        texts, first = batch.column(1), 0
+        open_: list = []  # count, hashes and ids of the text that the next stretch goes on with
         for stretch in codec.encode(t.as_py() for t in texts):
-            numbered = [(i, ids) for i, (_, ids, _) in enumerate(stretch)]
-            plain = codec.decode(numbered)
-            for i, (doc, ids, last) in enumerate(stretch):
-                total, of_ids, of_text, kept = sums.setdefault(doc, [0, hashlib.sha256(), hashlib.sha256(), []])
-                of_ids.update(np.ascontiguousarray(ids, dtype="<u4").tobytes())
-                of_text.update(plain.get(i, b""))
-                sums[doc][0] += len(ids)
+            plain = codec.decode([(i, ids) for i, (_, ids, _) in enumerate(stretch)])
+            done = []
+            for i, (_, ids, last) in enumerate(stretch):
+                open_ = open_ or [0, hashlib.sha256(), hashlib.sha256(), []]
+                open_[0] += len(ids)
+                open_[1].update(np.ascontiguousarray(ids, dtype="<u4").tobytes())
+                open_[2].update(plain.get(i, b""))
                 if with_ids:
-                    kept.append(ids)
+                    open_[3].append(ids)
                 if last:
-                    total, of_ids, of_text, kept = sums.pop(doc)
-                    rows[doc] = (total, of_ids.hexdigest(), of_text.hexdigest(), np.concatenate(kept) if kept else None)
-        columns = [rows[i] for i in range(len(texts))]
-        out = {"doc_id": batch.column(0), "n_tokens": pa.array([r[0] for r in columns], pa.int64()), "ids_sha256": pa.array([r[1] for r in columns], pa.string()), "decoded_sha256": pa.array([r[2] for r in columns], pa.string())}
-        if with_ids:
-            ends = np.concatenate([[0], np.cumsum([r[0] for r in columns])]).astype(np.int32)
-            flat = np.concatenate([r[3] for r in columns] + [np.empty(0, dtype=np.int32)])
-            out["token_ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
-        yield pa.RecordBatch.from_pydict(out)
+                    done.append(open_)
+                    open_ = []
+            # What a stretch ends goes out at once; a batch's results never stand together.
+            count = [d[0] for d in done]
+            out = {
+                "doc_id": batch.column(0).slice(first, len(done)), "n_tokens": pa.array(count, pa.int64()),
+                "ids_sha256": pa.array([d[1].hexdigest() for d in done], pa.string()), "decoded_sha256": pa.array([d[2].hexdigest() for d in done], pa.string()),
+            }
+            if with_ids:
+                ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                flat = np.concatenate([ids for d in done for ids in d[3]] + [np.empty(0, dtype=np.int32)])
+                out["token_ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
+            first += len(done)
+            yield pa.RecordBatch.from_pydict(out)
 
     schema = f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -30,6 +30,19 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
+def give_back() -> None:
+    """Return a Python worker's free memory to the system: workers idle on beside the tasks that come after."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once for a row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]
