@@ -20,8 +20,11 @@ def components(pairs: DataFrame) -> DataFrame:
     labels = checkpoint(links.groupBy("node").agg(F.min("node").alias("label")))
     while True:
         of_group = links.join(labels, "node").groupBy("group").agg(F.min("label").alias("label"))
-        near = links.join(of_group, "group").groupBy("node").agg(F.min("label").alias("label"))
-        jump = near.join(near.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left")
+        # Keys within a struct fit no partitioning there is, so both sides are shuffled for the join alone and AQE can split a hot key.
+        by_group = links.select("node", F.struct("group").alias("at"))
+        near = by_group.join(of_group.select(F.struct("group").alias("at"), "label"), "at").groupBy("node").agg(F.min("label").alias("label"))
+        further = near.select(F.struct(F.col("node").alias("label")).alias("at"), F.col("label").alias("further"))
+        jump = near.select("node", "label", F.struct("label").alias("at")).join(further, "at", "left")
         jump = jump.select("node", F.least("label", F.coalesce("further", "label")).alias("label"))
         new = checkpoint(jump.join(labels.withColumnRenamed("label", "old"), "node"))
         labels = new.select("node", "label")
