@@ -31,7 +31,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpoint
+from .common import ascii_lower, checkpoint, give_back
 from .components import components
 
 WORDS = 5
@@ -164,6 +164,7 @@ def _sketches(batches) -> Iterator:
                 "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[count > 0].ravel())),
             })
             first = last
+    give_back()
 
 
 def least_matches(threshold: float, tolerance: float) -> list[int]:
@@ -307,11 +308,12 @@ def _units(batches) -> Iterator:
                     yield done()
                 unit, keys, split, copies, block = (cluster, a, b), {}, [], [], []
             words = _words(text)
-            if key not in keys and _key(words) == key:  # another text may bear the representative's id
+            if key not in keys:  # rows that repeat come once
                 keys[key] = len(keys)
                 split.append(words), copies.append(own_copies), block.append(own_block)
     if unit is not None:
         yield done()
+    give_back()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,7 +344,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     members = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     members = checkpoint(members.select("key", "rep", "copies", "cluster", "blocks", "block"))
 
-    at = members.join(texts, F.col("rep").eqNullSafe(F.col("doc_id"))).select("cluster", "blocks", "block", "key", "copies", "text")
+    # By id and text: ids that are null or borne by several rows must not pair each with each.
+    own = texts.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    at = members.join(own, F.col("rep").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).select("cluster", "blocks", "block", "key", "copies", "text")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     at = at.select("*", other).select("cluster", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "key", "copies", "text")
     at = at.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")

@@ -71,6 +71,14 @@ def test_small_blocks_give_the_same(spark, monkeypatch):
     assert answers(nj.join(make(spark, rows))) == brute(rows)
 
 
+def test_ids_that_are_null_or_shared(spark):
+    """Rows without an id, and different texts under one id, are compared by their texts."""
+    rows = [(None, t) for _, t in near_copies(5, 4)] + [(1, t) for _, t in near_copies(6, 4)]
+    got = sorted((r["n_links"], r["n_copies"]) for r in nj.join(make(spark, rows)).collect())
+    want = brute([(i, t) for i, (_, t) in enumerate(rows)])
+    assert [g[0] for g in got] == sorted(w[2] for w in want)
+
+
 def test_edges(edges, empty):
     got = {(r["doc_id"], r["n_copies"]): r for r in nj.join(edges).collect()}
     assert got[7, 3]["class_id"] == 6 and got[7, 3]["n_links"] == 2
