@@ -12,9 +12,9 @@ aggregates the bytes in the order of positions.
 A merge's rank is that of the merged bytes, as in rank files, so the merge table holds
 each way to split a vocabulary entry into two entries.
 
-Memory: a batch is worked off in stretches of ``STRETCH`` pieces and the store of known
-pieces starts anew beyond ``STORE`` entries, so neither batch size, partition size nor
-the number of distinct pieces matters. Both are only buffers; results do not depend on them.
+Memory: a batch is worked off in stretches of ``STRETCH`` pieces, the recursion takes ``LEARN`` bytes of new ones at a
+time, and the store of known pieces starts anew beyond ``STORE`` entries, so neither batch size, partition size nor
+the number of distinct pieces matters. These are only buffers; results do not depend on them.
 
 Defined results: a null text counts as empty and has no tokens; rows that repeat are
 encoded each; other columns, of whatever name, are not read; an empty table gives an
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import give_back
 
-LONG, STRETCH, STORE = 100, 150_000, 400_000
+LONG, STRETCH, STORE, LEARN = 100, 100_000, 300_000, 500_000
 
 #: One contraction a step in each piece. ``k`` packs the merged token and the position of its left part.
 STEP = """
@@ -163,8 +163,15 @@ class Codec:
     def _learn(self, pieces: list[str]) -> None:
         import numpy as np
 
-        for some, step in (([p for p in pieces if len(p.encode()) <= LONG], STEP), ([p for p in pieces if len(p.encode()) > LONG], STEP_LONG)):
-            flat, count = self._fixpoint([p.encode() for p in some], step)
+        raw = [p.encode() for p in pieces]
+        lots: list[tuple[list[int], str]] = []
+        for step, own in ((STEP, [i for i, p in enumerate(raw) if len(p) <= LONG]), (STEP_LONG, [i for i, p in enumerate(raw) if len(p) > LONG])):
+            ends = np.cumsum([len(raw[i]) for i in own], dtype=np.int64) // LEARN
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1), len(own)] if own else []
+            lots += [(own[x:y], step) for x, y in zip(cuts, cuts[1:])]
+        for at, step in lots:
+            some = [pieces[i] for i in at]
+            flat, count = self._fixpoint([raw[i] for i in at], step)
             self.index.update(zip(some, range(len(self.count), len(self.count) + len(some))))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
             self.flat, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.count, count])
@@ -250,13 +257,6 @@ def _over_batches(docs: DataFrame, ranks_path: str, pattern: str, schema: str, w
     return docs.mapInArrow(run, schema)
 
 
-def _sha(parts) -> str:
-    whole = hashlib.sha256()
-    for part in parts:
-        whole.update(part)
-    return whole.hexdigest()
-
-
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode each text and decode its ids again.
 
