@@ -38,7 +38,7 @@ WORDS = 5
 THRESHOLD = (4, 5)
 BANDS, ROWS, STEP = 32, 6, 16
 TOLERANCE = 1e-6
-BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK, BLOCK_SHINGLES = 256, 500_000
 #: Texts are sketched in stretches of about so many bytes.
 STRETCH = 4_000_000
 
