@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import give_back
 
-LONG, STRETCH, STORE, LEARN = 100, 100_000, 300_000, 500_000
+LONG, STRETCH, STORE, LEARN = 100, 150_000, 400_000, 2_000_000
 
 #: One contraction a step in each piece. ``k`` packs the merged token and the position of its left part.
 STEP = """
