@@ -260,9 +260,13 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Tensors
 
 
-def _embeddings(spark: SparkSession, sf_dir: str, limit: int = 60) -> Tensor:
-    """The vectors of the first keys as a matrix vec x k: a tensor of a stated shape, whatever the table's size."""
-    df = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < limit)
+def _embeddings(spark: SparkSession, sf_dir: str, limit: int | None = None) -> Tensor:
+    """The vectors as a matrix vec x k: all of the table, or those of the first keys where a query's SQL says so."""
+    df = table(spark, sf_dir, "embeddings")
+    if limit is None:
+        limit = df.agg(F.coalesce(F.max("vec_id") + 1, F.lit(0)).alias("n")).first()["n"]
+    else:
+        df = df.where(F.col("vec_id") < limit)
     df = df.select(F.col("vec_id").alias("vec"), F.posexplode("embedding").alias("k", "value")).withColumn("k", F.col("k").cast("long"))
     return Tensor(df, ("vec", "k"), {"vec": limit, "k": 64})
 
@@ -274,6 +278,7 @@ def _supply(spark: SparkSession, sf_dir: str) -> Tensor:
 
 
 _E = "(SELECT vec_id AS vec, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings WHERE vec_id < 60)"
+_ALL = _E.replace(" WHERE vec_id < 60", "")
 _S = "(SELECT l_suppkey AS supp, l_returnflag AS flag, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
 
 
@@ -282,28 +287,34 @@ def _tensor(name: str, oracle: str, make: Callable[[SparkSession, str], Tensor],
     ORACLES[name] = oracle
 
 
-_tensor("contract_matmul", f"SELECT a.vec, b.vec AS other, round(sum(a.v * b.v), 4) AS value FROM {_E} a JOIN {_E} b USING (k) GROUP BY ALL", lambda s, d: _embeddings(s, d).product(_embeddings(s, d).rename(vec="other")), 4)
+def _vectors(name: str, oracle: str, make: Callable[[Callable[[], Tensor]], Tensor], digits: int = 2) -> None:
+    """Two queries: ``name`` over the first 60 keys, which its SQL is bound to, and ``name_whole`` over the whole table."""
+    _tensor(name, oracle, lambda s, d: make(lambda: _embeddings(s, d, 60)), digits)
+    _tensor(f"{name}_whole", oracle.replace(_E, _ALL), lambda s, d: make(lambda: _embeddings(s, d)), digits)
+
+
+_vectors("contract_matmul", f"SELECT a.vec, b.vec AS other, round(sum(a.v * b.v), 4) AS value FROM {_E} a JOIN {_E} b USING (k) GROUP BY ALL", lambda e: e().product(e().rename(vec="other")), 4)
 _tensor("batched_product", f"SELECT a.supp, a.flag, round(sum(a.v * b.v), 2) AS value FROM {_S} a JOIN {_S} b USING (supp, flag) GROUP BY ALL", lambda s, d: _supply(s, d).product(_supply(s, d), keep=("supp", "flag")))
 _tensor("outer_product", f"SELECT a.flag, b.flag AS other, round(a.v * b.v, 2) AS value FROM (SELECT flag, sum(v) AS v FROM {_S} GROUP BY ALL) a, (SELECT flag, sum(v) AS v FROM {_S} GROUP BY ALL) b", lambda s, d: (lambda t: t.product(t.rename(flag="other")))(_supply(s, d).reduce(["supp"])))
-_tensor("positional_product", f"SELECT a.vec AS x0, b.vec AS y0, round(sum(a.v * b.v), 4) AS value FROM {_E} a JOIN {_E} b USING (k) GROUP BY ALL", lambda s, d: convolve(_embeddings(s, d), _embeddings(s, d).transpose(("k", "vec")), 0, 1), 4)
-_tensor("chain_contraction", f"SELECT round(sum(a.v * b.v * c.v), 3) AS value FROM {_E} a JOIN {_E} b USING (k) JOIN {_E} c ON c.vec = b.vec AND c.k = 1", lambda s, d: contract([_embeddings(s, d), _embeddings(s, d).rename(vec="other"), _embeddings(s, d).rename(vec="other").slice(k=1)], ()), 3)
+_vectors("positional_product", f"SELECT a.vec AS x0, b.vec AS y0, round(sum(a.v * b.v), 4) AS value FROM {_E} a JOIN {_E} b USING (k) GROUP BY ALL", lambda e: convolve(e(), e().transpose(("k", "vec")), 0, 1), 4)
+_vectors("chain_contraction", f"SELECT round(sum(a.v * b.v * c.v), 3) AS value FROM {_E} a JOIN {_E} b USING (k) JOIN {_E} c ON c.vec = b.vec AND c.k = 1", lambda e: contract([e(), e().rename(vec="other"), e().rename(vec="other").slice(k=1)], ()), 3)
 _tensor("elementwise_add", f"SELECT supp, flag, round(v + coalesce(w, 0), 2) AS value FROM {_S} LEFT JOIN (SELECT supp, flag, 2 * v AS w FROM {_S} WHERE flag = 'A') USING (supp, flag)", lambda s, d: _supply(s, d) + _supply(s, d).where(flag=["A"]) * 2.0)
 _tensor("elementwise_div", f"SELECT supp, flag, round(CASE WHEN coalesce(w, 0) <> 0 THEN v / w ELSE 0 END, 4) AS value FROM {_S} LEFT JOIN (SELECT supp, flag, v + 1 - 1 AS w FROM {_S} WHERE flag <> 'A') USING (supp, flag)", lambda s, d: _supply(s, d) / _supply(s, d).where(flag=["N", "R"]), 4)
-_tensor("elementwise_broadcast", f"SELECT a.vec, a.k, round(a.v - b.v, 4) AS value FROM {_E} a JOIN {_E} b ON a.k = b.k AND b.vec = 0", lambda s, d: _embeddings(s, d) - _embeddings(s, d).slice(vec=0), 4)
-_tensor("trace", f"SELECT round(sum(v), 4) AS value FROM {_E} WHERE vec = k", lambda s, d: _embeddings(s, d).trace("vec", "k"), 4)
+_vectors("elementwise_broadcast", f"SELECT a.vec, a.k, round(a.v - b.v, 4) AS value FROM {_E} a JOIN {_E} b ON a.k = b.k AND b.vec = 0", lambda e: e() - e().slice(vec=0), 4)
+_vectors("trace", f"SELECT round(sum(v), 4) AS value FROM {_E} WHERE vec = k", lambda e: e().trace("vec", "k"), 4)
 _tensor("slice", f"SELECT vec // 2 AS vec, round(v, 4) AS value FROM {_E} WHERE k = 3 AND vec BETWEEN 10 AND 19 AND vec % 2 = 0".replace("vec // 2 AS vec", "(vec - 10) // 2 AS vec"), lambda s, d: _embeddings(s, d).slice(k=3, vec=slice(10, 20, 2)), 4)
-_tensor("project_max", f"SELECT vec, round(max(v), 4) AS value FROM {_E} GROUP BY ALL", lambda s, d: _embeddings(s, d).project(["k"], "max"), 4)
-_tensor("project_mean", f"SELECT k, round(avg(v), 4) AS value FROM {_E} GROUP BY ALL", lambda s, d: _embeddings(s, d).project(["vec"], "mean"), 4)
-_tensor("product_reduce", f"SELECT vec, round(product(1 + v / 10), 4) AS value FROM {_E} GROUP BY ALL", lambda s, d: (_embeddings(s, d) * 0.1 + 1.0).reduce(["k"], "prod"), 4)
+_vectors("project_max", f"SELECT vec, round(max(v), 4) AS value FROM {_E} GROUP BY ALL", lambda e: e().project(["k"], "max"), 4)
+_vectors("project_mean", f"SELECT k, round(avg(v), 4) AS value FROM {_E} GROUP BY ALL", lambda e: e().project(["vec"], "mean"), 4)
+_vectors("product_reduce", f"SELECT vec, round(product(1 + v / 10), 4) AS value FROM {_E} GROUP BY ALL", lambda e: (e() * 0.1 + 1.0).reduce(["k"], "prod"), 4)
 _tensor("indicator", f"SELECT supp, flag, 1.0 AS value FROM {_S} WHERE v <> 0", lambda s, d: _supply(s, d).indicator())
 _tensor("rollup_max", f"SELECT CASE WHEN flag = 'A' THEN 'x' ELSE 'y' END AS half, supp, round(max(v), 2) AS value FROM {_S} GROUP BY ALL", lambda s, d: _supply(s, d).rollup("flag", "half", {"A": "x", "N": "y", "R": "y"}, "max"))
 _tensor("tensor_count_distinct", f"SELECT flag, CAST(count(DISTINCT supp) AS DOUBLE) AS value FROM {_S} WHERE v <> 0 GROUP BY ALL", lambda s, d: _supply(s, d).count_distinct("supp", ("flag",)))
-_tensor("semiring_max_prod", f"SELECT a.vec, b.vec AS other, round(max(abs(a.v) * abs(b.v)), 4) AS value FROM {_E} a JOIN {_E} b USING (k) GROUP BY ALL", lambda s, d: (lambda t: t.product(t.rename(vec="other"), ring="max-prod", check=True))(_absolute(_embeddings(s, d))), 4)
-_tensor("semiring_min_plus", f"SELECT a.vec, b.vec AS other, round(min(a.v + b.v), 4) AS value FROM {_E} a JOIN {_E} b USING (k) GROUP BY ALL", lambda s, d: _embeddings(s, d).product(_embeddings(s, d).rename(vec="other"), ring="min-plus"), 4)
+_vectors("semiring_max_prod", f"SELECT a.vec, b.vec AS other, round(max(abs(a.v) * abs(b.v)), 4) AS value FROM {_E} a JOIN {_E} b USING (k) GROUP BY ALL", lambda e: (lambda t: t.product(t.rename(vec="other"), ring="max-prod", check=True))(_absolute(e())), 4)
+_vectors("semiring_min_plus", f"SELECT a.vec, b.vec AS other, round(min(a.v + b.v), 4) AS value FROM {_E} a JOIN {_E} b USING (k) GROUP BY ALL", lambda e: e().product(e().rename(vec="other"), ring="min-plus"), 4)
 _tensor("semiring_bool", f"SELECT a.supp, b.supp AS other, 1.0 AS value FROM {_S} a JOIN {_S} b USING (flag) WHERE a.supp < 9 AND b.supp < 9 GROUP BY ALL", lambda s, d: (lambda t: t.product(t.rename(supp="other"), ring="bool-or-and"))(_supply(s, d).where(supp=lambda c: c < 9).indicator()))
-_tensor("unit_identity", f"SELECT vec, k2, round(v, 4) AS value FROM (SELECT vec, k AS k2, v FROM {_E})", lambda s, d: _embeddings(s, d).product(Tensor.unit(s, {"k": ("k2", 64)})), 4)
-_tensor("weighted_window", f"SELECT a.vec, w.t AS k, round(sum(a.v * w.w), 4) AS value FROM {_E} a JOIN (SELECT i AS f, j AS t, 1.0 / (1 + j - i) AS w FROM range(64) x(i), range(64) y(j) WHERE j - i BETWEEN 0 AND 3) w ON a.k = w.f GROUP BY ALL", lambda s, d: _embeddings(s, d).weighted_window("k", [[1.0 / (1 + j - i) if 0 <= j - i <= 3 else 0.0 for j in range(64)] for i in range(64)]), 4)
-_tensor("tensor_running", f"SELECT a.vec, CAST(j AS BIGINT) AS k, round(sum(a.v), 4) AS value FROM {_E} a JOIN range(64) y(j) ON a.k <= j AND a.k >= j - 4 GROUP BY ALL", lambda s, d: _embeddings(s, d).running("k", 4), 4)
+_vectors("unit_identity", f"SELECT vec, k2, round(v, 4) AS value FROM (SELECT vec, k AS k2, v FROM {_E})", lambda e: e().product(Tensor.unit(e().df.sparkSession, {"k": ("k2", 64)})), 4)
+_vectors("weighted_window", f"SELECT a.vec, w.t AS k, round(sum(a.v * w.w), 4) AS value FROM {_E} a JOIN (SELECT i AS f, j AS t, 1.0 / (1 + j - i) AS w FROM range(64) x(i), range(64) y(j) WHERE j - i BETWEEN 0 AND 3) w ON a.k = w.f GROUP BY ALL", lambda e: e().weighted_window("k", [[1.0 / (1 + j - i) if 0 <= j - i <= 3 else 0.0 for j in range(64)] for i in range(64)]), 4)
+_vectors("tensor_running", f"SELECT a.vec, CAST(j AS BIGINT) AS k, round(sum(a.v), 4) AS value FROM {_E} a JOIN range(64) y(j) ON a.k <= j AND a.k >= j - 4 GROUP BY ALL", lambda e: e().running("k", 4), 4)
 
 
 def _absolute(t: Tensor) -> Tensor:
