@@ -217,6 +217,13 @@ def cell_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(suppressed(e.frame("SELECT l_suppkey, ship_year, SUM(l_quantity) AS s, COUNT(*) AS n FROM lineitem WHERE l_partkey < 50 GROUP BY l_suppkey, ship_year"), "s", "n", 5))
 
 
+@_register("cell_suppression_whole", "SELECT l_suppkey, l_partkey, CAST(year(l_shipdate) AS INTEGER) AS ship_year, CASE WHEN count(*) >= 5 THEN round(sum(l_quantity), 2) END AS s, count(*) AS n FROM lineitem GROUP BY ALL")
+def cell_suppression_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all lines: cells by supplier, part and year are fine enough for some to have fewer than 5."""
+    e = star(spark, sf_dir, "lineitem", "ship_calendar")
+    return rounded(suppressed(e.frame("SELECT l_suppkey, l_partkey, ship_year, SUM(l_quantity) AS s, COUNT(*) AS n FROM lineitem GROUP BY l_suppkey, l_partkey, ship_year"), "s", "n", 5))
+
+
 for _agg, _sql in (("max", "max(l_quantity)"), ("min", "min(l_quantity)"), ("count", "CAST(count(*) AS DOUBLE)"), ("mean", "avg(l_quantity)")):
 
     def _load(spark: SparkSession, sf_dir: str, agg: str = _agg) -> DataFrame:
@@ -312,6 +319,7 @@ _tensor("tensor_count_distinct", f"SELECT flag, CAST(count(DISTINCT supp) AS DOU
 _vectors("semiring_max_prod", f"SELECT a.vec, b.vec AS other, round(max(abs(a.v) * abs(b.v)), 4) AS value FROM {_E} a JOIN {_E} b USING (k) GROUP BY ALL", lambda e: (lambda t: t.product(t.rename(vec="other"), ring="max-prod", check=True))(_absolute(e())), 4)
 _vectors("semiring_min_plus", f"SELECT a.vec, b.vec AS other, round(min(a.v + b.v), 4) AS value FROM {_E} a JOIN {_E} b USING (k) GROUP BY ALL", lambda e: e().product(e().rename(vec="other"), ring="min-plus"), 4)
 _tensor("semiring_bool", f"SELECT a.supp, b.supp AS other, 1.0 AS value FROM {_S} a JOIN {_S} b USING (flag) WHERE a.supp < 9 AND b.supp < 9 GROUP BY ALL", lambda s, d: (lambda t: t.product(t.rename(supp="other"), ring="bool-or-and"))(_supply(s, d).where(supp=lambda c: c < 9).indicator()))
+_tensor("semiring_bool_whole", f"SELECT a.supp, b.supp AS other, 1.0 AS value FROM {_S} a JOIN {_S} b USING (flag) GROUP BY ALL", lambda s, d: (lambda t: t.product(t.rename(supp="other"), ring="bool-or-and"))(_supply(s, d).indicator()))
 _vectors("unit_identity", f"SELECT vec, k2, round(v, 4) AS value FROM (SELECT vec, k AS k2, v FROM {_E})", lambda e: e().product(Tensor.unit(e().df.sparkSession, {"k": ("k2", 64)})), 4)
 _vectors("weighted_window", f"SELECT a.vec, w.t AS k, round(sum(a.v * w.w), 4) AS value FROM {_E} a JOIN (SELECT i AS f, j AS t, 1.0 / (1 + j - i) AS w FROM range(64) x(i), range(64) y(j) WHERE j - i BETWEEN 0 AND 3) w ON a.k = w.f GROUP BY ALL", lambda e: e().weighted_window("k", [[1.0 / (1 + j - i) if 0 <= j - i <= 3 else 0.0 for j in range(64)] for i in range(64)]), 4)
 _vectors("tensor_running", f"SELECT a.vec, CAST(j AS BIGINT) AS k, round(sum(a.v), 4) AS value FROM {_E} a JOIN range(64) y(j) ON a.k <= j AND a.k >= j - 4 GROUP BY ALL", lambda e: e().running("k", 4), 4)

@@ -15,3 +15,12 @@ def test_every_vector_is_read(spark, sf_dir, name):
     assert n > 60 and got.select(got.columns[0]).distinct().count() == n
     if name in PAIRS:
         assert got.count() == n * n
+
+
+def test_every_line_and_supplier_is_read(spark, sf_dir):
+    lines = queries.table(spark, sf_dir, "lineitem")
+    cells = queries.QUERIES["cell_suppression_whole"](spark, sf_dir)
+    assert cells.agg({"n": "sum"}).first()[0] == lines.count()
+    assert 0 < cells.where("s IS NULL").count() == cells.where("n < 5").count()
+    pairs = queries.QUERIES["semiring_bool_whole"](spark, sf_dir)
+    assert pairs.select("supp").distinct().count() == pairs.select("other").distinct().count() == lines.select("l_suppkey").distinct().count()
