@@ -50,6 +50,7 @@ PATTERNS = {
     "?you": re.compile(r"\b(?:you|your|du|ihr|tu|vous|eres)\b[^.!?\n]{0,40}\b(?:" + "|".join(INSULTS) + r")\b", re.I),
     "?shout": re.compile(r"\b(?:" + "|".join(w.upper() for w in INSULTS) + r")\b[!?]"),
 }
+_INSULTS = frozenset(INSULTS)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -92,13 +93,15 @@ class Model:
             if word in whole:
                 z += whole[word]
                 any_sign = True
+            elif word in _INSULTS:  # of no weight of its own
+                any_sign = True
             for k in self.lengths:
                 if (start := word[:k]) in begin and len(start) == k:
                     begun[start] += n
         for start, n in begun.items():
             z += sum(w for least, w in begin[start] if n >= least)
             any_sign = True
-        # Patterns are made of insults, so a text without any sign can't match one.
+        # Patterns are made of insults, so a text without any sign or insult can't match one.
         if any_sign:
             z += sum(w for p, w in self.patterns if p.search(text))
         return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))

@@ -65,3 +65,9 @@ def test_label_model_finds_rates_and_correlations():
     post, rate, corr = toxicity.label_model(votes, y.astype(int), 0.2)
     assert np.mean((post > 0.5) == y) > 0.98
     assert abs(rate[1, 0] - 0.7) < 0.05 and corr[0, 3] > 0.5 and abs(corr[0, 1]) < 0.2
+
+
+def test_patterns_are_looked_at_where_an_insult_has_no_weight():
+    model = toxicity.Model({"=moron": 4.0, "?you": 3.0, "?shout": 2.0}, -3.0)
+    for text, patterns in (("you are so vile", 3.0), ("VILE!", 2.0), ("a vile thing", 0.0), ("you are so kind", 0.0)):
+        assert abs(model.score(text) - 1 / (1 + np.exp(3.0 - patterns))) < 1e-12
