@@ -40,7 +40,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table has no paths; source, language and id stand for them."""
+    """The table has no paths; source, language and id stand for them. None names a licence file, so nothing is inherited."""
     docs = documents(spark, sf_dir)
     return licenses.scan(docs, F.concat_ws("/", "source", "lang", "doc_id"))
 
