@@ -20,6 +20,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def apart(*columns: str) -> Column:
+    """A key within a struct: it fits no partitioning that there is, so both sides of a join by it are shuffled for this join alone and AQE can split a hot key."""
+    return F.struct(*columns)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

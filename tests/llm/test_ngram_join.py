@@ -107,3 +107,47 @@ def test_key_in_sql_is_that_of_python(edges):
 
     for r in edges.select("text", nj.text_key(F.col("text")).alias("k")).collect():
         assert bytes(r["k"]) == nj._key(nj._words(r["text"]))
+
+
+def test_groups_of_blocks_give_the_same(spark, monkeypatch):
+    """Pairs of different blocks are found within a group of blocks and across groups."""
+    rows = near_copies(3, 3) + [(500 + i, " ".join(f"t{k}" for k in range(70)) + f" v{i % 40} w{i}") for i in range(60)]
+    monkeypatch.setattr(nj, "BLOCK", 5)
+    for widest in (5, 17):
+        monkeypatch.setattr(nj, "WIDEST", widest)
+        assert answers(nj.join(make(spark, rows))) == brute(rows)
+
+
+def test_differences_from_another_set_tell_a_set():
+    import numpy as np
+
+    draw = np.random.default_rng(0)
+    for n, m in ((0, 5), (5, 0), (1, 9), (100, 90), (64, 64)):
+        own, hub = (np.unique(draw.integers(0, 120, size, dtype=np.uint64)) for size in (n, m))
+        assert (nj._undelta(nj._delta(own, hub), hub) == own).all()
+
+
+def test_both_ways_to_intersect_agree():
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    base = np.unique(draw.integers(0, 1 << 62, 300, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[draw.random(len(base)) < 0.93], draw.integers(0, 1 << 62, 12, dtype=np.uint64)])) for _ in range(70)]
+    at = np.arange(len(sets))
+    alive = at[:, None] < at[None, :]
+    dense = nj._Sets(sets)
+    dense._lay()
+    one_by_one = np.zeros_like(alive)
+    for i in at:
+        one_by_one[i] = nj._Sets(sets).linked(at[i : i + 1], at, alive[i : i + 1])[0]
+    assert (dense.linked(at, at, alive) == one_by_one).all() and one_by_one.any() and not one_by_one[alive].all()
+
+
+def test_raw_hash_is_that_of_sql(edges):
+    """Representatives are joined with their texts by the hash that Python made of them."""
+    from pyspark.sql import functions as F
+
+    import xxhash
+
+    for r in edges.select("text", F.xxhash64("text").alias("h")).where("text is not null").collect():
+        assert xxhash.xxh64_intdigest(r["text"].encode(), seed=42) == r["h"] % (1 << 64)
