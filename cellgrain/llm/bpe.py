@@ -4,17 +4,22 @@ A text is split by the tokenizer's pattern and every distinct piece is encoded o
 for a stretch of a partition. Encoding is a recursive query over rows of (piece, list of
 tokens): each step unnests the token positions, joins neighbouring tokens with the merge
 table, and contracts the leftmost pair of least rank in every piece until no pair is in
-the table. Pieces of more than ``LONG`` bytes contract all occurrences of their least
-rank at once, from the left, which gives the same tokens: a pair made by a merge never
-ranks below that merge. Decoding joins token positions with the vocabulary and
-aggregates the bytes in the order of positions.
+the table. Decoding joins token positions with the vocabulary and aggregates the bytes in
+the order of positions.
 
 A merge's rank is that of the merged bytes, as in rank files, so the merge table holds
-each way to split a vocabulary entry into two entries.
-
-Memory: a batch is worked off in stretches of ``STRETCH`` pieces, the recursion takes ``LEARN`` bytes of new ones at a
-time, and the store of known pieces starts anew beyond ``STORE`` entries, so neither batch size, partition size nor
-the number of distinct pieces matters. These are only buffers; results do not depend on them.
+each way to split a vocabulary entry into two entries. A vocabulary is *proper* if each entry, taken as a
+piece, becomes itself by contractions of no higher rank than its own, as after any training. Then no
+contraction makes a pair of its own rank or below: the bytes of such a pair have been set off from their
+neighbours from the start, so contractions of lower rank would have made its entry before. The next pairs of
+the least rank are thus those that were there, and one step may take all of them, from the left, with the
+result of as many single steps. Pieces of more than ``LONG`` bytes are contracted that way, but only with a
+vocabulary that ``proper`` has found to be so; with any other all pieces take single steps.
+
+Memory: a batch is worked off in stretches of ``STRETCH`` pieces, the recursion takes new pieces in lots whose lists of
+tokens, over all steps, have about ``LEARN`` entries, and the store of known pieces starts anew beyond ``STORE``
+entries, so neither batch size, partition size nor the number of distinct pieces matters. These are only
+buffers; results do not depend on them. A piece is one list, so what a task needs grows with the longest piece alone.
 
 Defined results: a null text counts as empty and has no tokens; rows that repeat are
 encoded each; other columns, of whatever name, are not read; an empty table gives an
@@ -33,24 +38,26 @@ from pyspark.sql import functions as F
 
 from .common import give_back
 
-LONG, STRETCH, STORE, LEARN = 100, 150_000, 400_000, 2_000_000
+LONG, STRETCH, STORE, LEARN = 100, 50_000, 200_000, 4_000_000
+#: DuckDB's memory in MB, and bytes more for each byte of the longest piece.
+MEMORY, MEMORY_A_BYTE = 256, 1000
 
 #: One contraction a step in each piece. ``k`` packs the merged token and the position of its left part.
 STEP = """
 WITH RECURSIVE state(piece, tokens) AS (
     SELECT piece, tokens FROM fresh
     UNION ALL
-    SELECT state.piece, tokens[:(k & 1048575) - 1] || [(k >> 20)::INTEGER] || tokens[(k & 1048575) + 2:]
+    SELECT state.piece, tokens[:(k & 4294967295) - 1] || [(k >> 32)::INTEGER] || tokens[(k & 4294967295) + 2:]
     FROM state JOIN (
-        SELECT pairs.piece, min(merges.id::BIGINT * 1048576 + pairs.position) AS k
+        SELECT pairs.piece, min((merges.id::BIGINT << 32) + pairs.position) AS k
         FROM (SELECT piece, unnest(list_zip(tokens[:-2], tokens[2:])) AS pair, generate_subscripts(tokens[2:], 1) AS position
               FROM state) AS pairs
-        JOIN merges ON merges.pair = pairs.pair[1]::BIGINT * 65536 + pairs.pair[2]
+        JOIN merges ON merges.pair = (pairs.pair[1]::BIGINT << 32) + pairs.pair[2]
         GROUP BY pairs.piece) AS best USING (piece))
 SELECT piece, arg_min(tokens, len(tokens)) AS tokens FROM state GROUP BY piece ORDER BY piece
 """
 
-#: All occurrences of the least rank a step; in a run of overlapping ones every second is taken, from the left.
+#: All occurrences of the least rank a step; in a run of overlapping ones every second is taken, from the left. For proper vocabularies.
 STEP_LONG = """
 WITH RECURSIVE state(piece, tokens) USING KEY (piece) AS (
     SELECT piece, tokens FROM fresh
@@ -59,7 +66,7 @@ WITH RECURSIVE state(piece, tokens) USING KEY (piece) AS (
         SELECT piece, unnest(list_zip(tokens[:-2], tokens[2:])) AS pair, generate_subscripts(tokens[2:], 1) AS position FROM state),
      ranked AS (
         SELECT piece, position, id, min(id) OVER (PARTITION BY piece) AS least
-        FROM pairs JOIN merges ON merges.pair = pairs.pair[1]::BIGINT * 65536 + pairs.pair[2]),
+        FROM pairs JOIN merges ON merges.pair = (pairs.pair[1]::BIGINT << 32) + pairs.pair[2]),
      runs AS (
         SELECT piece, position, id, position - row_number() OVER (PARTITION BY piece ORDER BY position) AS run
         FROM ranked WHERE id = least),
@@ -76,6 +83,22 @@ WITH RECURSIVE state(piece, tokens) USING KEY (piece) AS (
 SELECT piece, tokens FROM state ORDER BY piece
 """
 
+#: Entries that don't become themselves, or by a rank above their own.
+IMPROPER = """
+WITH RECURSIVE state(piece, tokens, top) AS (
+    SELECT piece, tokens, -1::BIGINT FROM fresh
+    UNION ALL
+    SELECT state.piece, tokens[:(k & 4294967295) - 1] || [(k >> 32)::INTEGER] || tokens[(k & 4294967295) + 2:], greatest(top, k >> 32)
+    FROM state JOIN (
+        SELECT pairs.piece, min((merges.id::BIGINT << 32) + pairs.position) AS k
+        FROM (SELECT piece, unnest(list_zip(tokens[:-2], tokens[2:])) AS pair, generate_subscripts(tokens[2:], 1) AS position
+              FROM state) AS pairs
+        JOIN merges ON merges.pair = (pairs.pair[1]::BIGINT << 32) + pairs.pair[2]
+        GROUP BY pairs.piece) AS best USING (piece))
+SELECT count(*) FROM (SELECT piece, min(len(tokens)) AS left_over, max(top) AS top FROM state GROUP BY piece)
+JOIN entries USING (piece) WHERE left_over > 1 OR top > entries.id
+"""
+
 DECODE = """
 SELECT stretch.doc, string_agg(vocabulary.bytes, '' ORDER BY stretch.position) AS bytes
 FROM stretch JOIN vocabulary USING (id) GROUP BY stretch.doc ORDER BY stretch.doc
@@ -92,19 +115,17 @@ _TABLES: dict[bytes, tuple] = {}
 
 
 def tables(ranks: dict[bytes, int]):
-    """The merge table (packed pair, id) and the vocabulary (id, bytes in hexadecimal) of ranks."""
+    """Ids of single bytes, the merge table (packed pair, id), the vocabulary (id, bytes in hexadecimal) of ranks."""
     import numpy as np
     import pyarrow as pa
 
-    if max(ranks.values()) >= 65536:
-        raise ValueError("ranks of 65536 and more don't fit the packed pairs")
     left, right, merged = [], [], []
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             if (a := ranks.get(token[:cut])) is not None and (b := ranks.get(token[cut:])) is not None:
                 left.append(a), right.append(b), merged.append(rank)
-    pair = np.array(left, dtype=np.int64) * 65536 + np.array(right, dtype=np.int64)
-    merges = pa.table({"pair": pa.array(pair), "id": pa.array(merged, pa.int32())})
+    left, right, merged = (np.array(x, dtype=np.int64) for x in (left, right, merged))
+    merges = pa.table({"pair": pa.array((left << 32) + right), "id": pa.array(merged.astype(np.int32))})
     vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array([token.hex() for token in ranks])})
     return np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32), merges, vocabulary
 
@@ -112,13 +133,13 @@ def tables(ranks: dict[bytes, int]):
 class Codec:
     """Encoder and decoder of one task; holds a DuckDB connection of its own until it is closed."""
 
-    def __init__(self, lines: bytes, pattern: str, memory: str = "1GB"):
+    def __init__(self, lines: bytes, pattern: str, proper: bool | None = None):
         import duckdb
         import regex
 
         # The pattern's \s is Unicode's White_Space; that of the regex module also holds U+001C to U+001F.
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": ""})
         key = hashlib.sha256(lines).digest()
         if key not in _TABLES:
             _TABLES.clear()
@@ -127,6 +148,7 @@ class Codec:
         self._table("merges", merges)
         self._table("vocabulary", vocabulary)
         self.forget()
+        self.proper = self._proper() if proper is None else proper
 
     def close(self) -> None:
         """Give the memory back: a Python worker lives on and serves other tasks."""
@@ -145,6 +167,21 @@ class Codec:
         self.index: dict[str, int] = {}
         self.flat, self.start, self.count = (np.empty(0, dtype=t) for t in (np.int32, np.int64, np.int64))
 
+    def _proper(self) -> bool:
+        """Whether each entry of several bytes comes from single bytes by contractions of no higher rank."""
+        import pyarrow as pa
+
+        entries = [(i, bytes.fromhex(text)) for i, text in self.db.execute("SELECT id, bytes FROM vocabulary").fetchall()]
+        for begin in range(0, len(entries), 20_000):
+            some = entries[begin : begin + 20_000]
+            self.db.register("fresh", pa.table({"piece": pa.array(range(len(some)), pa.int64()), "tokens": pa.array([self.first[list(b)] for _, b in some], pa.list_(pa.int32()))}))
+            self.db.register("entries", pa.table({"piece": pa.array(range(len(some)), pa.int64()), "id": pa.array([i for i, _ in some], pa.int64())}))
+            wrong = self.db.execute(IMPROPER).fetchall()[0][0]
+            self.db.unregister("fresh"), self.db.unregister("entries")
+            if wrong:
+                return False
+        return True
+
     def _fixpoint(self, pieces: list[bytes], step: str):
         """Tokens of distinct pieces: flat array and the number for each."""
         import numpy as np
@@ -165,10 +202,15 @@ class Codec:
 
         raw = [p.encode() for p in pieces]
         lots: list[tuple[list[int], str]] = []
-        for step, own in ((STEP, [i for i, p in enumerate(raw) if len(p) <= LONG]), (STEP_LONG, [i for i, p in enumerate(raw) if len(p) > LONG])):
-            ends = np.cumsum([len(raw[i]) for i in own], dtype=np.int64) // LEARN
-            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1), len(own)] if own else []
-            lots += [(own[x:y], step) for x, y in zip(cuts, cuts[1:])]
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        at_once = (sizes > LONG) & self.proper
+        # Single steps keep the lists of all steps, half the square of a piece's bytes; the others the last one.
+        for step, own, entries in ((STEP, np.flatnonzero(~at_once), sizes * sizes // 2), (STEP_LONG, np.flatnonzero(at_once), 16 * sizes)):
+            lot = np.cumsum(entries[own]) // LEARN
+            cuts = [0, *(np.flatnonzero(np.diff(lot)) + 1), len(own)] if len(own) else []
+            lots += [(own[x:y].tolist(), step) for x, y in zip(cuts, cuts[1:])]
+        if len(sizes):
+            self.db.execute(f"SET memory_limit = '{MEMORY + int(sizes.max()) * MEMORY_A_BYTE // 1_000_000}MB'")
         for at, step in lots:
             some = [pieces[i] for i in at]
             flat, count = self._fixpoint([raw[i] for i in at], step)
@@ -242,13 +284,17 @@ class Codec:
 
 def _over_batches(docs: DataFrame, ranks_path: str, pattern: str, schema: str, work) -> DataFrame:
     with open(ranks_path, "rb") as file:  # on the driver; under a MB, so that executors need not have the file
-        lines = docs.sparkSession.sparkContext.broadcast(file.read())
+        own = file.read()
+    codec = Codec(own, pattern)
+    known = docs.sparkSession.sparkContext.broadcast((own, codec.proper))
+    codec.close()
+    _TABLES.clear()
 
     def run(batches):
         codec = None
         try:
             for batch in batches:
-                codec = codec or Codec(lines.value, pattern)
+                codec = codec or Codec(known.value[0], pattern, known.value[1])
                 yield from work(codec, batch)
         finally:
             if codec:
@@ -318,11 +364,13 @@ def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
         rows = [ids.values.to_numpy(zero_copy_only=False) if ids.values is not None else [] for ids in batch.column(1)]
         plain: dict[int, bytes] = {}
         some: list[tuple[int, object]] = []
+        held = 0
         for i, ids in enumerate(rows):
             some.append((i, ids))
-            if sum(len(x) for _, x in some) >= STRETCH or i == n - 1:
+            held += len(ids)
+            if held >= STRETCH or i == n - 1:
                 plain |= codec.decode(some)
-                some = []
+                some, held = [], 0
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "bytes": pa.array([plain.get(i, b"") for i in range(n)], pa.binary())})
 
     ids = tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
