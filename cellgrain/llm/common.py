@@ -6,13 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+#: Narrow rows that a checkpoint's file may hold.
+ROWS_A_FILE = 250_000
+
+
+def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut the lineage of ``df`` by a reliable checkpoint.
 
     The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset
-    (tests, notebooks) a folder below the warehouse is used.
+    (tests, notebooks) a folder below the warehouse is used. ``rows``: about how many narrow rows there are, where that is
+    known; a few rows then make few files, whatever the number of shuffle partitions (each file costs round trips to the store).
     """
     spark = df.sparkSession
+    if rows is not None:
+        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(max(1, min(most, -(-rows // ROWS_A_FILE))))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,7 +30,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def apart(*columns: str) -> Column:
     """A key within a struct: it fits no partitioning that there is, so both sides of a join by it are shuffled for this join alone and AQE can split a hot key."""
-    return F.struct(*columns)
+    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,13 @@ as little repetition as can be, and a document that two sources share is spent w
 needed. A pattern's flow then becomes documents: all of them as often as it goes in whole,
 and once more those of least seeded hash whose words fill the rest.
 
-The seeded choice is made without a global order: sizes are summed in ``BINS`` ranges of
-the hash, running sums of these few rows find the range in which a pattern's quota ends,
-and only the rows of that range are ranked.
+The seeded choice is made without a global order: sizes are summed in ranges of the hash, the running sums of
+these few rows find the range in which a pattern's quota ends, and that range is divided in turn until
+it holds ``FEW`` rows or one value of the hash. Rows that share that value (rows that repeat) go in as many as
+fill the quota best; they are numbered by partition, so that no group of them meets in one task.
 
-Sizes of the collected tables: one row a pattern and one a source; ``MOST_PATTERNS`` of them
-at most, beyond which ``targets`` raises. Flow problems fall apart by connected patterns and sources.
+Sizes of the collected tables: one row a pattern and one a source. ``n`` sources have at most 2^n patterns; beyond
+``MOST_PATTERNS`` of them ``plan`` raises. Flow problems fall apart by connected patterns and sources.
 
 Defined results: a null text has size 0; documents of size 0 or without a source that has a
 target take part as their source says (nothing to take); a null source is a source of its
@@ -28,21 +29,33 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpoint
 
 WEIGHTS, SHARE, REPEATS, SEED = (3, 1, 2), 1.5, 2, 11
-BINS = 4096
+#: Bits of the hash that tell ranges apart in one pass, and the rows of a range that are looked at one by one.
+BITS, FEW = 12, 20_000
 #: Plans of so many patterns (about 100 bytes each) are broadcast; larger ones are joined by shuffles.
 BROADCAST = 20_000
 MOST_PATTERNS = 1_000_000
 
 
-def words(text: Column) -> Column:
-    """Number of runs of characters other than blank and U+0009 to U+000D; 0 for null."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    runs = F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
-    return F.when(runs == "", 0).otherwise(F.length(runs) - F.length(F.translate(runs, " ", "")) + 1).cast("long")
+def sized(rows: DataFrame) -> DataFrame:
+    """``rows`` with their column ``text`` replaced by ``size``: its number of runs of characters other than blank and U+0009 to U+000D, 0 for null."""
+    kept = [c for c in rows.columns if c != "text"]
+    rows = rows.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def count(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            text = batch.column(batch.num_columns - 1)
+            size = pc.count_substring_regex(text, r"[^\x20\x09-\x0D]+").cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], size], names=[*kept, "size"])
+
+    return rows.mapInArrow(count, T.StructType([*rows.schema.fields[:-1], T.StructField("size", T.LongType())]))
 
 
 def quotas(sizes: dict, weights=WEIGHTS, share: float = SHARE, most: float = REPEATS) -> dict:
@@ -155,18 +168,41 @@ def _drawn(docs: DataFrame, seed: int, id_col: str, text_col: str, sources: Colu
     return [sources.alias("sources"), pattern.alias("pattern"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("draw")]
 
 
-def _bin() -> Column:
-    return F.floor((F.shiftright("draw", 52) + F.lit(2048)) * F.lit(BINS / 4096)).cast("int")
+def _range(shift: int) -> Column:
+    """The bits of the draw above ``shift``, in its order."""
+    return F.shiftright("draw", shift)
+
+
+def _ends(drawn: DataFrame, rests: DataFrame, patterns: int, small) -> DataFrame:
+    """For patterns with a rest to fill: cut, the value of the draw at which it ends, here, the rows of that value that go in, and equal, all of them.
+
+    All rows below the cut go in. ``rests`` has pattern and rest; of a rest that not one row fits, here is 0.
+    """
+    shift, open_ = 64 - BITS, rests.where("rest > 0").select("pattern", "rest", F.lit(0).cast("long").alias("before"))
+    at = drawn.withColumn("range", _range(shift)).join(small(open_), "pattern")
+    while True:
+        sums = at.groupBy("pattern", "range").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"), F.min("rest").alias("rest"), F.min("before").alias("before"))
+        # At most 2^BITS ranges a pattern, or FEW values.
+        upto = F.col("before") + F.sum("words").over(Window.partitionBy("pattern").orderBy("range"))
+        ends = sums.withColumn("upto", upto).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
+        ends = checkpoint(ends.select("pattern", "range", "rest", (F.col("upto") - F.col("words")).alias("before"), "words", "rows"), patterns)
+        if shift == 0:
+            each = F.col("words") / F.col("rows")  # rows of one value are equal
+            here = F.least("rows", F.round((F.col("rest") - F.col("before")) / each).cast("long"))
+            return ends.select("pattern", F.col("range").alias("cut"), here.alias("here"), F.col("rows").alias("equal"))
+        last, shift = shift, 0 if (ends.agg(F.max("rows")).first()[0] or 0) <= FEW else max(0, shift - BITS)
+        inside = ends.select(F.col("pattern").alias("of"), F.col("range").alias("within"), "rest", "before")
+        at = drawn.join(small(inside), (F.col("pattern") == F.col("of")) & (_range(last) == F.col("within"))).withColumn("range", _range(shift))
 
 
 def plan(drawn: DataFrame, weights, share: float, repeats: int) -> DataFrame:
-    """A row for each pattern: whole times, and the draw up to which documents go in once more (null: none).
+    """A row for each pattern: whole times, and cut, here and equal of the documents that go in once more (null: none).
 
-    ``drawn`` has sources, pattern, draw and size; it is read twice.
+    ``drawn`` has sources, pattern, draw and size; it is read several times.
     """
-    binned = drawn.withColumn("bin", _bin()).groupBy("pattern", "bin").agg(F.sum("size").alias("words"), F.first("sources").alias("sources"))
-    binned = checkpoint(binned)
-    totals = binned.groupBy("pattern").agg(F.sum("words").alias("words"), F.first("sources").alias("sources"))
+    import pyarrow as pa
+
+    totals = drawn.groupBy("pattern").agg(F.sum("size").alias("words"), F.first("sources").alias("sources"))
     patterns = totals.limit(MOST_PATTERNS + 1).collect()
     if len(patterns) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
@@ -184,27 +220,28 @@ def plan(drawn: DataFrame, weights, share: float, repeats: int) -> DataFrame:
         first = p[0] if p else None
         whole = min(repeats, amount // n) if n else 0
         rows.append((r["pattern"], int(whole), int(amount - whole * n) if whole < repeats else 0, int(sizes.get(first, 0)), float(target.get(first, 0.0))))
-    rows = drawn.sparkSession.createDataFrame(rows, "pattern string, whole int, rest long, source_size long, target double")
+    names, kinds = ("pattern", "whole", "rest", "source_size", "target"), (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
+    rows = drawn.sparkSession.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds))}))
     small = F.broadcast if len(patterns) <= BROADCAST else lambda df: df
-
-    upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("bin"))
-    ends = binned.select("pattern", "bin", "words", upto.alias("upto")).join(small(rows), "pattern")
-    ends = ends.where((F.col("rest") > 0) & (F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
-    ends = ends.select("pattern", "bin", "rest", (F.col("upto") - F.col("words")).alias("before"))
-    # Rows of the bin in which the rest ends, one bin a pattern; a document goes in if that comes nearer to the rest.
-    edge = drawn.withColumn("bin", _bin()).select("pattern", "bin", "draw", "size").join(small(ends), ["pattern", "bin"])
-    run = F.col("before") + F.sum("size").over(Window.partitionBy("pattern").orderBy("draw"))
-    cut = edge.withColumn("run", run).where(2 * (F.col("run") - F.col("rest")) <= F.col("size")).groupBy("pattern").agg(F.max("draw").alias("cut"))
-    # No row of the bin goes in: all bins before it do.
-    floor_ = ((F.col("bin") - F.lit(BINS // 2)).cast("long") * F.lit((1 << 64) // BINS)) - 1
-    floors = ends.where("bin > 0").select("pattern", floor_.alias("floor"))
-    out = rows.join(floors, "pattern", "left").join(cut, "pattern", "left")
-    out = checkpoint(out.select("pattern", "whole", "source_size", "target", F.coalesce("cut", "floor").alias("cut")))
-    return small(out)
-
-
-def _times() -> Column:
-    return (F.col("whole") + F.coalesce((F.col("draw") <= F.col("cut")).cast("int"), F.lit(0))).alias("times")
+    out = rows.join(_ends(drawn, rows, len(patterns), small), "pattern", "left")
+    return small(checkpoint(out.select("pattern", "whole", "source_size", "target", "cut", "here", "equal"), len(patterns)))
+
+
+def _with_times(rows: DataFrame, planned: DataFrame) -> DataFrame:
+    """``rows``, which have pattern and draw, with how often each is taken."""
+    out = rows.join(planned, "pattern")
+    some = F.when(F.col("draw") < F.col("cut"), 1).when((F.col("draw") == F.col("cut")) & (F.col("here") >= F.col("equal")), 1).otherwise(0)
+    if planned.where("here > 0 and here < equal").isEmpty():
+        return out.withColumn("times", F.col("whole") + some)
+    in_part = F.coalesce((F.col("draw") == F.col("cut")) & (F.col("here") > 0) & (F.col("here") < F.col("equal")), F.lit(False))
+    # Rows of one value: the first ``here`` of them, in the order of partitions.
+    equal = checkpoint(out.where(in_part)).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    before = equal.groupBy("pattern", "__part").agg(F.count(F.lit(1)).alias("n"))
+    before = before.select("pattern", "__part", (F.sum("n").over(Window.partitionBy("pattern").orderBy("__part")) - F.col("n")).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("pattern", "__part").orderBy("__at"))
+    equal = equal.withColumn("__nth", nth).join(before, ["pattern", "__part"])
+    equal = equal.withColumn("times", F.col("whole") + (F.col("__before") + F.col("__nth") <= F.col("here")).cast("int"))
+    return out.where(~in_part).withColumn("times", F.col("whole") + some).unionByName(equal.drop("__part", "__at", "__nth", "__before"))
 
 
 def taken(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None) -> DataFrame:
@@ -213,16 +250,16 @@ def taken(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int =
     ``sources``: an array column, by default the one ``source``. source_size and target are those of
     the first of them.
     """
-    drawn = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("size"), *_drawn(docs, seed, id_col, text_col, sources))
+    drawn = sized(docs.select(F.col(id_col).alias("doc_id"), *_drawn(docs, seed, id_col, text_col, sources), F.col(text_col).alias("text")))
     drawn = checkpoint(drawn)  # narrow rows, so that texts are read once
-    out = drawn.join(plan(drawn, weights, share, repeats), "pattern")
-    return out.select("doc_id", "sources", "size", "source_size", "target", _times())
+    out = _with_times(drawn, plan(drawn, weights, share, repeats))
+    return out.select("doc_id", "sources", "size", "source_size", "target", "times")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, all columns unchanged."""
     at = _drawn(docs, seed, id_col, text_col, sources)
-    drawn = checkpoint(docs.select(words(F.col(text_col)).alias("size"), *at))
+    drawn = checkpoint(sized(docs.select(*at, F.col(text_col).alias("text"))))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    out = docs.select(row, *at[1:]).join(plan(drawn, weights, share, repeats), "pattern").select("row", _times())
+    out = _with_times(docs.select(row, *at[1:]), plan(drawn, weights, share, repeats))
     return out.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth")).select("row.*")

@@ -458,7 +458,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     banded = reps.select("node", F.explode("bands").alias("group"))
     shared = banded.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
     clusters = components(banded.join(shared, "group"))
-    members = checkpoint(reps.drop("bands").join(clusters, "node").withColumnRenamed("label", "cluster"))
+    members = checkpoint(reps.drop("bands").join(clusters, "node").withColumnRenamed("label", "cluster"), clusters.count())
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("all"))
     groups = F.greatest(F.ceil(F.col("n") / _width(F.col("n"))), F.ceil(F.col("all") / WIDEST_SHINGLES)).cast("int")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES), groups).cast("int")

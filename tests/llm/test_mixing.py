@@ -85,3 +85,29 @@ def test_overlapping_sources(spark):
     got = mixing.taken(frame, weights=(1, 2), share=1.0, sources=F.col("of")).collect()
     # a: 4000 words it could offer alone or shared, target 2000; b: target 4000
     assert sum(r["times"] * r["size"] for r in got) == pytest.approx(1.0 * 8000, abs=20)
+
+
+def test_repeated_rows_fill_a_quota_in_part(spark):
+    """Rows equal in id and text share one place in the draw; as many of them go in as the target needs."""
+    frame = make(spark, [(1, " ".join(["w"] * 10), "a")] * 900 + [(2, " ".join(["v"] * 10), "b")] * 100).repartition(7)
+    rows = mixing.taken(frame).collect()
+    by = defaultdict(lambda: [0, 0.0])
+    for r in rows:
+        by[r["sources"][0]][0] += r["size"] * r["times"]
+        by[r["sources"][0]][1] = r["target"]
+    assert len(rows) == 1000 and all(abs(got - target) <= 10 for got, target in by.values())
+    assert mixing.mix(frame).count() == sum(r["times"] for r in rows)
+
+
+def test_ranges_are_divided_until_few_rows_are_left(spark, monkeypatch):
+    frame = docs(spark)
+    want = sorted(map(str, mixing.taken(frame).collect()))
+    monkeypatch.setattr(mixing, "FEW", 3)
+    monkeypatch.setattr(mixing, "BITS", 4)
+    assert sorted(map(str, mixing.taken(frame).collect())) == want
+
+
+def test_very_long_texts_and_odd_blanks(spark):
+    texts = ["x " * 200_000, "a b c d", "\x1c\x1d e", "\t\n\v\f\r", "é è\n\nê", None]
+    rows = mixing.taken(make(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert {r["doc_id"]: r["size"] for r in rows} == {i: count(t) for i, t in enumerate(texts)}
