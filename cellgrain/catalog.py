@@ -6,6 +6,7 @@ values; ordinals are made only where an order by dictionary position is asked fo
 
 from __future__ import annotations
 
+import functools
 from collections import deque
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -14,17 +15,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Tables counted at no more rows than this may be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Tables of no more than so many bytes, by their counted rows and the width of their columns, may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
-def dense_ordinals(keys: DataFrame, column: str, start: int = 0) -> DataFrame:
-    """column and ordinal: positions of distinct keys in ascending order, without a global window.
+def small_enough(table: DataFrame | None, rows: int | None) -> bool:
+    """Whether a table of a counted number of rows may be broadcast. Texts count for 64 bytes each, nested columns never do."""
+    if table is None or rows is None:
+        return False
+    nested = any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in table.schema)
+    width = 16 + sum(64 if isinstance(f.dataType, (T.StringType, T.BinaryType)) else 8 for f in table.schema)
+    return not nested and rows * width <= BROADCAST_BYTES
+
+
+def dense_ordinals(keys: DataFrame, column: str, start: int = 0, by: str | None = None) -> DataFrame:
+    """column and ordinal: positions of distinct keys in ascending order (of ``by`` before them), without a global window.
 
     Keys are range-partitioned; the number of rows in each partition (one row a partition) shifts the next ones.
     """
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = keys.select(column).distinct().repartitionByRange(parts, F.col(column).asc_nulls_last()).sortWithinPartitions(F.col(column).asc_nulls_last())
+    order = [*([F.col(by)] if by else []), F.col(column).asc_nulls_last()]
+    laid = (keys if by else keys.select(column).distinct()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     laid = laid.select(column, F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__id")).persist()
     within = (F.col("__id") - (F.col("__part").cast("long") * F.lit(1 << 33))).alias("__within")
     sizes = {r["__part"]: r["count"] for r in laid.groupBy("__part").count().collect()}
@@ -56,7 +67,7 @@ class Dimension:
 
     @property
     def small(self) -> bool:
-        return self.rows is not None and self.rows <= BROADCAST_ROWS
+        return small_enough(self.table, self.rows)
 
     def extend(self, keys: DataFrame) -> None:
         """Make the keys of ``keys`` members; ones that are new come after those there are."""
@@ -65,17 +76,25 @@ class Dimension:
         if self.data_type is None:
             self.data_type = keys.schema[self.name].dataType
 
+    def ensure_null(self) -> None:
+        """Make NULL a member, after those there are."""
+        if not self._batches:
+            raise KeyError(f"dimension {self.name!r} has no members")
+        first = self._batches[0]
+        self.extend(first.sparkSession.createDataFrame([(None,)], T.StructType([T.StructField(self.name, first.schema[self.name].dataType)])))
+
     def members(self) -> DataFrame:
         """Key and ordinal: sorted within a load, later loads after earlier ones."""
         if self._ordinals is None:
             if not self._batches:
                 raise KeyError(f"dimension {self.name!r} has no members")
-            out = dense_ordinals(self._batches[0], self.name)
-            for batch in self._batches[1:]:
-                known = out.persist()
-                new = batch.distinct().join(known, batch[self.name].eqNullSafe(known[self.name]), "left_anti")
-                out = known.unionByName(dense_ordinals(new, self.name, known.count()))
-            self._ordinals = out.persist()
+            if len(self._batches) == 1:
+                self._ordinals = dense_ordinals(self._batches[0], self.name).persist()
+            else:
+                # The load in which a key came first, then the key: one aggregation and one sort, however many loads there were.
+                loads = [b.select(self.name, F.lit(i).alias("__load")) for i, b in enumerate(self._batches)]
+                first = functools.reduce(DataFrame.unionByName, loads).groupBy(self.name).agg(F.min("__load").alias("__load"))
+                self._ordinals = dense_ordinals(first, self.name, by="__load").persist()
         return self._ordinals
 
     def __len__(self) -> int:
@@ -152,7 +171,7 @@ class Hierarchy:
             return df
         if self.expression is not None:
             return df.withColumn(self.parent, self.expression(F.col(self.child)))
-        table = F.broadcast(self.table) if self.rows is not None and self.rows <= BROADCAST_ROWS else self.table
+        table = F.broadcast(self.table) if small_enough(self.table, self.rows) else self.table
         return df.join(table.withColumnRenamed(self.child, "__child"), df[self.child].eqNullSafe(F.col("__child")), "left").drop("__child")
 
 
@@ -161,7 +180,7 @@ class Cube:
     """A named measure over dimensions.
 
     ``rows`` is the raw fact (dimensions, value) where there is one; ``cells`` has one row for each
-    combination that occurs: dimensions, value, __count (rows with a measure) and __rows (all rows).
+    combination that occurs: dimensions, value, and, if counted, __count (rows with a measure) and __rows (all rows).
     """
 
     name: str
@@ -175,9 +194,14 @@ class Cube:
     cached: bool = False
 
     def scan(self, cell_grain: bool) -> DataFrame:
-        """dimensions, value, __count, __rows; raw rows serve sums as well as cells do, and spare a shuffle."""
+        """dimensions, value, __count, __rows; raw rows serve sums as well as cells do, and spare a shuffle.
+
+        A cube that was registered without counts counts its non-zero cells.
+        """
         if cell_grain or self.cached or self.rows is None or self.agg != "sum":
-            return self.cells
+            filled = (F.coalesce("value", F.lit(0.0)) != 0).cast("long")
+            missing = {c: filled for c in ("__count", "__rows") if c not in self.cells.columns}
+            return self.cells.withColumns(missing) if missing else self.cells
         has = F.col("value").isNotNull().cast("long").alias("__count")
         return self.rows.select(*self.dims, F.coalesce("value", F.lit(0.0)).alias("value"), has, F.lit(1).cast("long").alias("__rows"))
 
@@ -326,7 +350,7 @@ def choose_layout(nnz: int, total: int, rank: int, budget: int = 8 << 30) -> str
     """Which layout an array engine would take; reported only, since cell tables are columnar throughout."""
     dense, sparse = estimate_bytes(nnz, total, rank, "dense"), estimate_bytes(nnz, total, rank, "sparse_coo")
     if dense > budget:
-        return "sparse_coo"
+        return "chunked_sparse" if sparse > budget else "sparse_coo"
     return "sparse_coo" if total and nnz / total < 0.02 and sparse < dense else "dense"
 
 

@@ -42,7 +42,10 @@ class Engine:
     def load_csv(self, path: str, dims: Sequence[str], measure: str, name: str | None = None, schema=None, **options) -> c.Cube:
         return self.load_frame(loaders.read_csv(self.spark, path, schema), dims, measure, name, **options)
 
-    def load_sql(self, query: str, connection, dims: Sequence[str], measure: str, name: str | None = None, **options) -> c.Cube:
+    def load_sql(self, connection, query, dims: Sequence[str], measure: str, name: str | None = None, **options) -> c.Cube:
+        """Rows of a query by a connection or a JDBC url; the two are told apart, so they may come in either order."""
+        if isinstance(connection, str) and not (isinstance(query, str) and connection.startswith("jdbc:")):
+            connection, query = query, connection
         return self.load_frame(loaders.read_sql(self.spark, query, connection), dims, measure, name, **options)
 
     def load_dimension(self, data, key: str, name: str | None = None, **options) -> c.Dimension:
@@ -61,6 +64,12 @@ class Engine:
         self._plans.clear()
         return self.catalog.grant(role, axis, allowed, can_project, permissive)
 
+    def use_engine(self, spark: SparkSession) -> Engine:
+        """Go on with another session of the same application; plans are compiled anew."""
+        self.spark = spark
+        self._plans.clear()
+        return self
+
     @property
     def cubes(self) -> list[str]:
         return list(self.catalog.cubes)
@@ -81,20 +90,21 @@ class Engine:
     # queries
 
     def compile(self, query: str, role: str | None = None) -> Compiled:
-        """The query's plan; the same text over the same cubes for the same role is compiled once."""
-        key = (query, role, tuple((n, v.version) for n, v in sorted(self.catalog.cubes.items())))
+        """The query's plan; the same query, however it is spaced and cased, over the same cubes for the same role is compiled once."""
+        parsed = parse(query)
+        key = (repr(parsed), role, tuple((n, v.version) for n, v in sorted(self.catalog.cubes.items())))
         if key in self._plans:
             self.hits += 1
         else:
             self.misses += 1
-            self._plans[key] = Compiler(self.spark, self.catalog, role).compile(parse(query))
+            self._plans[key] = Compiler(self.spark, self.catalog, role).compile(parsed)
         return self._plans[key]
 
     def sql(self, query: str, role: str | None = None) -> ResultSet:
         began = time.perf_counter()
         compiled = self.compile(query, role)
         stats = {"compile_seconds": time.perf_counter() - began, "engine": "spark", "group_shape": compiled.group, "plan_cache": {"hits": self.hits, "misses": self.misses}}
-        return ResultSet(compiled.df, compiled.sort, stats)
+        return ResultSet(compiled.df, compiled.in_order, stats)
 
     def frame(self, query: str, role: str | None = None) -> DataFrame:
         """The query as a DataFrame, with no order that it doesn't ask for."""

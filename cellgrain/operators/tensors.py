@@ -14,13 +14,22 @@ import operator
 import string
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import TooManyIndicesError
 from ..functions.semirings import Semiring, semiring
 
 HOWS = ("sum", "min", "max", "mean", "prod")
+#: Cells that an operation may make of absent ones (a number added to a tensor, an axis that one side lacks).
+MOST_CELLS = 1 << 40
+
+
+def _check_cells(sizes: Mapping[str, int], axes: Iterable[str], most: int) -> None:
+    """Sizes that aren't known count as 1."""
+    cells = functools.reduce(operator.mul, [sizes.get(a, 1) for a in axes], 1)
+    if cells > most:
+        raise MemoryError(f"{cells} cells exceed {most}")
 
 
 class Tensor:
@@ -236,11 +245,19 @@ class Tensor:
     def running(self, axis: str, back: int | None = None) -> Tensor:
         """Running sums along an integer axis; ``back``: over so many keys before the current one. Every key up to the size gets a cell."""
         size = self._size(axis)
-        reach = size if back is None else back
-        rest = [a for a in self.axes if a != axis]
-        span = F.sequence(F.col(f"`{axis}`"), F.least(F.col(f"`{axis}`") + F.lit(reach), F.lit(size - 1)))
-        df = self.df.select(*[F.col(f"`{a}`") for a in rest], F.explode(span).alias(axis), "value")
-        return self._like(_grouped(df, self.axes, F.sum("value")), self.axes)
+        rest = [F.col(f"`{a}`") for a in self.axes if a != axis]
+        # Each cell once, then zeros at the keys that have none: where a series' cells begin, up to the next ones.
+        cells = _grouped(self.df, self.axes, F.sum("value"))
+        here = Window.partitionBy(*rest).orderBy(F.col(f"`{axis}`"))
+        cells = cells.withColumn("__next", F.lead(F.col(f"`{axis}`")).over(here))
+        last = F.least(F.coalesce(F.col("__next"), F.lit(size)) - 1, F.lit(size - 1))
+        last = last if back is None else F.least(last, F.col(f"`{axis}`") + F.lit(back))
+        span = F.explode(F.sequence(F.col(f"`{axis}`"), last)).alias("__at")
+        filled = cells.where(F.col(f"`{axis}`") < size).select(*rest, F.col(f"`{axis}`").alias("__from"), "value", span)
+        value = F.when(F.col("__at") == F.col("__from"), F.col("value")).otherwise(0.0)
+        window = Window.partitionBy(*rest).orderBy("__at").rangeBetween(Window.unboundedPreceding if back is None else -back, 0)
+        df = filled.select(*rest, F.col("__at"), F.sum(value).over(window).alias("value")).withColumnRenamed("__at", axis)
+        return self._like(df, self.axes)
 
     def weighted_window(self, axis: str, weights: DataFrame | Sequence[Sequence[float]]) -> Tensor:
         """New cells as sums of old ones: ``weights`` has columns from, to, weight, or is a matrix [from][to]."""
@@ -265,12 +282,15 @@ class Tensor:
         keep = set(keep)
         return [a for a in shared if a in keep], [a for a in shared if a not in keep]
 
-    def product(self, other: Tensor, keep: Iterable[str] = (), ring: str | Semiring = "sum-prod", check: bool = False) -> Tensor:
+    def product(self, other: Tensor, keep: Iterable[str] = (), ring: str | Semiring = "sum-prod", check: bool = False, max_cells: int | None = None) -> Tensor:
         """Join on shared axes, combine, and gather over those that ``keep`` doesn't name.
 
-        Without shared axes to sum there is nothing to gather, and no aggregation.
+        Without shared axes to sum there is nothing to gather, and no aggregation. ``max_cells``: a product whose whole index
+        space (by the sizes of all axes) has more cells raises MemoryError before anything runs.
         """
         ring = semiring(ring)
+        if max_cells is not None:
+            _check_cells(self.sizes | other.sizes, dict.fromkeys([*self.axes, *other.axes]), max_cells)
         if check and ring.domain is not None:
             for t in (self, other):
                 if not t.df.where(~ring.domain(F.col("value"))).isEmpty():
@@ -298,6 +318,8 @@ class Tensor:
 
     def _spread(self, missing: list[str], other: Tensor) -> DataFrame:
         df = self.df
+        if missing:
+            _check_cells(self.sizes | other.sizes, [*self.axes, *missing], MOST_CELLS)
         for a in missing:
             df = df.crossJoin(df.sparkSession.range(other._size(a)).withColumnRenamed("id", a))
         return df
@@ -323,6 +345,7 @@ class Tensor:
 
     def _full(self) -> DataFrame:
         """All cells, absent ones as zeros."""
+        _check_cells(self.sizes, self.axes, MOST_CELLS)
         grid = self.df.sparkSession.range(1).select()
         for a in self.axes:
             grid = grid.crossJoin(self.df.sparkSession.range(self._size(a)).withColumnRenamed("id", a))

@@ -10,7 +10,8 @@ facts of FROM, joined, have rows; frames of other facts are joined to them by ke
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -70,7 +71,7 @@ class Compiled:
     group: list[str]
     steps: list[Step]
     terms: dict[str, list[str]]
-    sort: list[Column] = field(default_factory=list)
+    in_order: Callable[[], DataFrame] | None = None
 
 
 def _all(columns: list[Column]) -> Column:
@@ -394,12 +395,20 @@ class Compiler:
                     self._guard(df, right, t)
                 step.operands.append(Operand(f"[{t.left} {t.op} {t.right}]", (t.left, t.right)))
                 conditions.append(self._compared(t.op, F.col(f"`{t.left}`"), F.col(f"`{t.right}`")))
+            if not conditions:
+                self._guard_product(df, right, cube.name)
             df = df.join(renamed, _all(conditions), how) if conditions else df.join(renamed, F.lit(True), how) if how == "left" else df.crossJoin(renamed)
             df = df.drop(*[f"__on_{c}" for c in on])
         for t in waiting:
             df = df.where(self._compared(t.op, F.col(f"`{t.left}`"), F.col(f"`{t.right}`")))
         return df
 
+    def _guard_product(self, left: DataFrame, right: DataFrame, what: str) -> None:
+        """A product of facts without a common axis; both sides are pre-aggregated."""
+        cells = left.count() * right.count()
+        if cells > THETA_CELLS:
+            raise BindError(f"the product with {what!r} spans {cells} pairs; at most {THETA_CELLS} are made")
+
     def _guard(self, left: DataFrame, right: DataFrame, t: Theta) -> None:
         """Both sides are pre-aggregated; what they span is counted before it is joined."""
         a, b = (left, right) if t.left in left.columns else (right, left)
@@ -781,11 +790,28 @@ class Compiler:
 
         if q.having is not None:
             df = df.where(having(q.having))
-        by_group = [F.col(f"`__g_{g}`").asc_nulls_last() for g in self.group]
-        keys = [of(o.key).desc_nulls_first() if o.descending else of(o.key).asc_nulls_last() for o in q.order]
+        chosen = [F.col(f"`{x}`") for x in labels]
+        keys = [of(o.key).desc_nulls_last() if o.descending else of(o.key).asc_nulls_first() for o in q.order]
         if keys or q.limit is not None:
-            df = df.orderBy(*keys, *by_group) if keys or by_group else df  # groups break ties, so that LIMIT is one result
-        if q.limit is not None:
-            df = df.limit(q.limit)
-        sort = [] if keys or q.limit is not None else [F.col(f"`{x}`").asc_nulls_last() for x in labels if x in self.group]
-        return Compiled(df.select(*[F.col(f"`{x}`") for x in labels]), labels, list(self.group), steps, shown, sort)
+            df, by_group = self._by_position(df)  # groups break ties, so that LIMIT is one result
+            df = df.orderBy(*keys, *by_group) if keys or by_group else df
+            df = df.limit(q.limit) if q.limit is not None else df
+            return Compiled(df.select(*chosen), labels, list(self.group), steps, shown)
+
+        def in_order() -> DataFrame:
+            placed, by_group = self._by_position(df)
+            return (placed.orderBy(*by_group) if by_group else placed).select(*chosen)
+
+        return Compiled(df.select(*chosen), labels, list(self.group), steps, shown, in_order)
+
+    def _by_position(self, df: DataFrame) -> tuple[DataFrame, list[Column]]:
+        """The group keys' order: that of their dictionaries, which is the keys' own unless a dimension grew by several loads."""
+        order = []
+        for g in self.group:
+            if self._in_key_order(g):
+                order.append(F.col(f"`__g_{g}`").asc_nulls_last())
+            else:
+                positions = self._positions(g).select(F.col(f"`{g}`").alias("__key"), F.col("ordinal").alias(f"__p_{g}"))
+                df = df.join(positions, F.col(f"`__g_{g}`").eqNullSafe(F.col("__key")), "left").drop("__key")
+                order.append(F.col(f"`__p_{g}`").asc_nulls_last())
+        return df, order

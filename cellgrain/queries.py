@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder (or else the warehouse), deleted when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def _month(day):
     return F.date_format(day, "yyyy-MM")
 
@@ -70,11 +79,11 @@ def star(spark: SparkSession, sf_dir: str, *parts: str, cache: bool = False) ->
             e.add_hierarchy("nation", "region", regions.select(F.col("n_name").alias("nation"), F.col("r_name").alias("region")))
         elif part == "supply":
             # a second fact that shares parts with lineitem: a plan for each part and quarter
-            plan = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_partkey", F.quarter("l_shipdate").alias("plan_quarter"), F.col("l_tax").alias("plan"))
+            plan = table(spark, sf_dir, "lineitem").select("l_partkey", F.quarter("l_shipdate").alias("plan_quarter"), F.col("l_tax").alias("plan"))
             e.load_frame(plan, ["l_partkey", "plan_quarter"], "plan", "supply")
         elif part == "flags":
             # a fact that shares parts and return flags with lineitem
-            flags = table(spark, sf_dir, "lineitem").where("l_linenumber = 2").select("l_partkey", "l_returnflag", F.col("l_discount").alias("discount"))
+            flags = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", F.col("l_discount").alias("discount"))
             e.load_frame(flags, ["l_partkey", "l_returnflag"], "discount", "flags")
         elif part == "sizes":
             sizes = table(spark, sf_dir, "part").select(F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
@@ -165,8 +174,8 @@ _ask("hierarchy_geo_region", "orders customer_geography", "SELECT region, SUM(o_
 _ask("ancestor_filter", "orders customer_geography order_calendar", "SELECT nation, AVG(o_totalprice) AS a FROM orders WHERE region = 'ASIA' AND order_quarter >= '1998Q2' GROUP BY nation", f"SELECT n_name AS nation, round(avg(o_totalprice), 2) AS a FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND {_QUARTER.format('o_orderdate')} >= '1998Q2' GROUP BY ALL")
 
 # Joins of facts
-_PLAN = "(SELECT l_partkey, CAST(quarter(l_shipdate) AS INTEGER) AS plan_quarter, l_tax AS plan FROM lineitem WHERE l_linenumber = 1)"
-_FLAGS = "(SELECT l_partkey, l_returnflag, l_discount AS discount FROM lineitem WHERE l_linenumber = 2)"
+_PLAN = "(SELECT l_partkey, CAST(quarter(l_shipdate) AS INTEGER) AS plan_quarter, l_tax AS plan FROM lineitem)"
+_FLAGS = "(SELECT l_partkey, l_returnflag, l_discount AS discount FROM lineitem)"
 _ask("two_fact_lam1_mu1", "lineitem supply", "SELECT l_returnflag, plan_quarter, SUM(l_quantity * plan) AS x FROM lineitem JOIN supply ON lineitem.l_partkey = supply.l_partkey GROUP BY l_returnflag, plan_quarter", f"SELECT l_returnflag, plan_quarter, round(sum(l_quantity * plan), 2) AS x FROM lineitem JOIN {_PLAN} USING (l_partkey) GROUP BY ALL")
 _ask("two_fact_mu2", "lineitem flags", "SELECT l_linestatus, SUM(l_quantity * discount) AS x, COUNT(*) AS n FROM lineitem JOIN flags GROUP BY l_linestatus", f"SELECT l_linestatus, round(sum(l_quantity * discount), 2) AS x, count(*) AS n FROM lineitem JOIN {_FLAGS} USING (l_partkey, l_returnflag) GROUP BY ALL")
 _ask("two_fact_lam2_mu0", "lineitem flags", "SELECT l_partkey, l_returnflag, SUM(l_quantity * discount) AS x FROM lineitem JOIN flags GROUP BY l_partkey, l_returnflag", f"SELECT l_partkey, l_returnflag, round(sum(l_quantity * discount), 2) AS x FROM lineitem JOIN {_FLAGS} USING (l_partkey, l_returnflag) GROUP BY ALL")
@@ -211,15 +220,9 @@ def rls_masked_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(e.frame("SELECT l_returnflag, SUM(l_quantity) AS s, COUNT(DISTINCT l_suppkey) AS d FROM lineitem GROUP BY l_returnflag", "analyst"))
 
 
-@_register("cell_suppression", "SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS ship_year, CASE WHEN count(*) >= 5 THEN round(sum(l_quantity), 2) END AS s, count(*) AS n FROM lineitem WHERE l_partkey < 50 GROUP BY ALL")
+@_register("cell_suppression", "SELECT l_suppkey, l_partkey, CAST(year(l_shipdate) AS INTEGER) AS ship_year, CASE WHEN count(*) >= 5 THEN round(sum(l_quantity), 2) END AS s, count(*) AS n FROM lineitem GROUP BY ALL")
 def cell_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = star(spark, sf_dir, "lineitem", "ship_calendar")
-    return rounded(suppressed(e.frame("SELECT l_suppkey, ship_year, SUM(l_quantity) AS s, COUNT(*) AS n FROM lineitem WHERE l_partkey < 50 GROUP BY l_suppkey, ship_year"), "s", "n", 5))
-
-
-@_register("cell_suppression_whole", "SELECT l_suppkey, l_partkey, CAST(year(l_shipdate) AS INTEGER) AS ship_year, CASE WHEN count(*) >= 5 THEN round(sum(l_quantity), 2) END AS s, count(*) AS n FROM lineitem GROUP BY ALL")
-def cell_suppression_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all lines: cells by supplier, part and year are fine enough for some to have fewer than 5."""
+    """Cells by supplier, part and year are fine enough for some to have fewer than 5 lines."""
     e = star(spark, sf_dir, "lineitem", "ship_calendar")
     return rounded(suppressed(e.frame("SELECT l_suppkey, l_partkey, ship_year, SUM(l_quantity) AS s, COUNT(*) AS n FROM lineitem GROUP BY l_suppkey, l_partkey, ship_year"), "s", "n", 5))
 
@@ -248,7 +251,7 @@ def incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("save_open_roundtrip", "SELECT l_returnflag, CAST(year(l_shipdate) AS INTEGER) AS ship_year, round(sum(l_quantity * p_retailprice), 2) AS r, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 10 AND l_suppkey <> 2 GROUP BY ALL")
 def save_open_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/{next(tempfile._get_candidate_names())}"
+    path = scratch(spark, "catalog")
     e = star(spark, sf_dir, "lineitem", "part", "ship_calendar")
     e.grant("analyst", "l_suppkey", table(spark, sf_dir, "supplier").where("s_suppkey <> 2").select(F.col("s_suppkey").alias("l_suppkey")))
     e.save(path)
@@ -257,7 +260,7 @@ def save_open_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("csv_roundtrip", "SELECT n_regionkey, CAST(count(*) AS BIGINT) AS n, round(sum(n_nationkey * 1.5), 2) AS s FROM nation GROUP BY ALL")
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/{next(tempfile._get_candidate_names())}.csv"
+    path = scratch(spark, "nations")
     table(spark, sf_dir, "nation").withColumn("weight", F.col("n_nationkey") * 1.5).write.option("header", True).csv(path)
     e = Engine(spark)
     e.load_csv(path, ["n_regionkey", "n_name"], "weight", "nations", schema="n_nationkey int, n_name string, n_regionkey int, weight double")
@@ -267,15 +270,12 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Tensors
 
 
-def _embeddings(spark: SparkSession, sf_dir: str, limit: int | None = None) -> Tensor:
-    """The vectors as a matrix vec x k: all of the table, or those of the first keys where a query's SQL says so."""
+def _embeddings(spark: SparkSession, sf_dir: str) -> Tensor:
+    """All vectors as a matrix vec x k."""
     df = table(spark, sf_dir, "embeddings")
-    if limit is None:
-        limit = df.agg(F.coalesce(F.max("vec_id") + 1, F.lit(0)).alias("n")).first()["n"]
-    else:
-        df = df.where(F.col("vec_id") < limit)
+    size = df.agg(F.coalesce(F.max("vec_id") + 1, F.lit(0)).alias("n")).first()["n"]
     df = df.select(F.col("vec_id").alias("vec"), F.posexplode("embedding").alias("k", "value")).withColumn("k", F.col("k").cast("long"))
-    return Tensor(df, ("vec", "k"), {"vec": limit, "k": 64})
+    return Tensor(df, ("vec", "k"), {"vec": size, "k": 64})
 
 
 def _supply(spark: SparkSession, sf_dir: str) -> Tensor:
@@ -284,8 +284,7 @@ def _supply(spark: SparkSession, sf_dir: str) -> Tensor:
     return Tensor(df, ("supp", "flag"))
 
 
-_E = "(SELECT vec_id AS vec, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings WHERE vec_id < 60)"
-_ALL = _E.replace(" WHERE vec_id < 60", "")
+_E = "(SELECT vec_id AS vec, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)"
 _S = "(SELECT l_suppkey AS supp, l_returnflag AS flag, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
 
 
@@ -295,9 +294,7 @@ def _tensor(name: str, oracle: str, make: Callable[[SparkSession, str], Tensor],
 
 
 def _vectors(name: str, oracle: str, make: Callable[[Callable[[], Tensor]], Tensor], digits: int = 2) -> None:
-    """Two queries: ``name`` over the first 60 keys, which its SQL is bound to, and ``name_whole`` over the whole table."""
-    _tensor(name, oracle, lambda s, d: make(lambda: _embeddings(s, d, 60)), digits)
-    _tensor(f"{name}_whole", oracle.replace(_E, _ALL), lambda s, d: make(lambda: _embeddings(s, d)), digits)
+    _tensor(name, oracle, lambda s, d: make(lambda: _embeddings(s, d)), digits)
 
 
 _vectors("contract_matmul", f"SELECT a.vec, b.vec AS other, round(sum(a.v * b.v), 4) AS value FROM {_E} a JOIN {_E} b USING (k) GROUP BY ALL", lambda e: e().product(e().rename(vec="other")), 4)
@@ -318,8 +315,7 @@ _tensor("rollup_max", f"SELECT CASE WHEN flag = 'A' THEN 'x' ELSE 'y' END AS hal
 _tensor("tensor_count_distinct", f"SELECT flag, CAST(count(DISTINCT supp) AS DOUBLE) AS value FROM {_S} WHERE v <> 0 GROUP BY ALL", lambda s, d: _supply(s, d).count_distinct("supp", ("flag",)))
 _vectors("semiring_max_prod", f"SELECT a.vec, b.vec AS other, round(max(abs(a.v) * abs(b.v)), 4) AS value FROM {_E} a JOIN {_E} b USING (k) GROUP BY ALL", lambda e: (lambda t: t.product(t.rename(vec="other"), ring="max-prod", check=True))(_absolute(e())), 4)
 _vectors("semiring_min_plus", f"SELECT a.vec, b.vec AS other, round(min(a.v + b.v), 4) AS value FROM {_E} a JOIN {_E} b USING (k) GROUP BY ALL", lambda e: e().product(e().rename(vec="other"), ring="min-plus"), 4)
-_tensor("semiring_bool", f"SELECT a.supp, b.supp AS other, 1.0 AS value FROM {_S} a JOIN {_S} b USING (flag) WHERE a.supp < 9 AND b.supp < 9 GROUP BY ALL", lambda s, d: (lambda t: t.product(t.rename(supp="other"), ring="bool-or-and"))(_supply(s, d).where(supp=lambda c: c < 9).indicator()))
-_tensor("semiring_bool_whole", f"SELECT a.supp, b.supp AS other, 1.0 AS value FROM {_S} a JOIN {_S} b USING (flag) GROUP BY ALL", lambda s, d: (lambda t: t.product(t.rename(supp="other"), ring="bool-or-and"))(_supply(s, d).indicator()))
+_tensor("semiring_bool", f"SELECT a.supp, b.supp AS other, 1.0 AS value FROM {_S} a JOIN {_S} b USING (flag) GROUP BY ALL", lambda s, d: (lambda t: t.product(t.rename(supp="other"), ring="bool-or-and"))(_supply(s, d).indicator()))
 _vectors("unit_identity", f"SELECT vec, k2, round(v, 4) AS value FROM (SELECT vec, k AS k2, v FROM {_E})", lambda e: e().product(Tensor.unit(e().df.sparkSession, {"k": ("k2", 64)})), 4)
 _vectors("weighted_window", f"SELECT a.vec, w.t AS k, round(sum(a.v * w.w), 4) AS value FROM {_E} a JOIN (SELECT i AS f, j AS t, 1.0 / (1 + j - i) AS w FROM range(64) x(i), range(64) y(j) WHERE j - i BETWEEN 0 AND 3) w ON a.k = w.f GROUP BY ALL", lambda e: e().weighted_window("k", [[1.0 / (1 + j - i) if 0 <= j - i <= 3 else 0.0 for j in range(64)] for i in range(64)]), 4)
 _vectors("tensor_running", f"SELECT a.vec, CAST(j AS BIGINT) AS k, round(sum(a.v), 4) AS value FROM {_E} a JOIN range(64) y(j) ON a.k <= j AND a.k >= j - 4 GROUP BY ALL", lambda e: e().running("k", 4), 4)
@@ -355,14 +351,26 @@ def rollup_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("jdbc_scan", "SELECT n_regionkey, count(*) AS n, CAST(sum(n_nationkey) AS DOUBLE) AS s FROM nation GROUP BY ALL")
 def jdbc_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a database query through a DB-API connection."""
+    """Rows of a database query by JDBC: an embedded database that executors read (in one process with them here, as its tables are in memory)."""
+    name = uuid.uuid4().hex
+    spark._jvm.System.setProperty("derby.stream.error.file", "/dev/null")
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("R"), F.col("n_name").alias("N"), F.col("n_nationkey").alias("K"))
+    nation.write.jdbc(f"jdbc:derby:memory:{name};create=true", "NATION")
+    e = Engine(spark)
+    e.load_sql(f"jdbc:derby:memory:{name}", "SELECT R, N, K FROM NATION", ["R", "N"], "K", "nations")
+    return e.frame("SELECT R AS n_regionkey, COUNT(*) AS n, SUM(K) AS s FROM nations GROUP BY R").withColumn("n_regionkey", F.col("n_regionkey").cast("int"))
+
+
+@_register("db_api_scan", "SELECT n_regionkey, count(*) AS n, CAST(sum(n_nationkey) AS DOUBLE) AS s FROM nation GROUP BY ALL")
+def db_api_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a database query through a DB-API connection, on the driver: for small tables."""
     import sqlite3
 
     con = sqlite3.connect(":memory:")
     con.execute("CREATE TABLE nation (n_nationkey INT, n_name TEXT, n_regionkey INT)")
     con.executemany("INSERT INTO nation VALUES (?, ?, ?)", [tuple(r) for r in table(spark, sf_dir, "nation").collect()])
     e = Engine(spark)
-    e.load_sql("SELECT n_regionkey, n_name, n_nationkey FROM nation", con, ["n_regionkey", "n_name"], "n_nationkey", "nations")
+    e.load_sql(con, "SELECT n_regionkey, n_name, n_nationkey FROM nation", ["n_regionkey", "n_name"], "n_nationkey", "nations")
     return e.frame("SELECT n_regionkey, COUNT(*) AS n, SUM(n_nationkey) AS s FROM nations GROUP BY n_regionkey").withColumn("n_regionkey", F.col("n_regionkey").cast("int"))
 
 
@@ -371,8 +379,11 @@ def streamed_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cube kept by a stream: the events, read as a stream of files, until all are in."""
     from .streaming.cubes import maintain
 
-    base = f"{spark.conf.get('spark.sql.warehouse.dir')}/{next(tempfile._get_candidate_names())}"
+    base = scratch(spark, "stream")
     source = table(spark, sf_dir, "events").repartition(3)
     source.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in").withColumn("day", F.to_date("ts"))
     return rounded(maintain(stream, ["event_type", "day"], "value", f"{base}/cube", f"{base}/checkpoint").select("event_type", "day", "value", F.col("__count").alias("count"), F.col("__rows").alias("rows")))
+
+
+from . import queries_api as _api  # noqa: E402, F401  registers the operators of the API

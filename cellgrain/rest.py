@@ -1,8 +1,8 @@
 """HTTP service over an engine: framework-free handlers, and a server of the standard library.
 
 GET /health, /catalog, /cube/NAME; POST /query and /explain with {"sql": ..., "role": ...}. The role in
-the header ``x-role`` goes before the one in the body. A result of a query is fetched up to ``MOST_ROWS`` rows,
-and says whether it was cut there.
+the header ``x-role`` goes before the one in the body. A query's answer has all its rows; with ``limit`` and ``offset`` in
+the body it has one page of them, in the result's order, and says whether more follow.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from .engine import Engine
 from .errors import AccessDenied, BindError, QuerySyntaxError
 
-MOST_ROWS = 100_000
-
 
 class Service:
     def __init__(self, engine: Engine):
@@ -37,8 +35,14 @@ class Service:
                 if path == "/explain":
                     return 200, {"plan": self.engine.explain(body["sql"], role)}
                 result = self.engine.sql(body["sql"], role)
-                rows = [list(r) for r in result._ordered().limit(MOST_ROWS + 1).collect()]
-                return 200, {"columns": result.columns, "rows": rows[:MOST_ROWS], "row_count": min(len(rows), MOST_ROWS), "cut": len(rows) > MOST_ROWS, "stats": result.stats}
+                limit, offset = body.get("limit"), body.get("offset", 0)
+                if not (limit is None or type(limit) is int and limit >= 0) or type(offset) is not int or offset < 0:
+                    return 400, {"error": "limit and offset are whole numbers from 0"}
+                df = result.ordered().offset(offset) if offset else result.ordered()
+                rows = [list(r) for r in (df if limit is None else df.limit(limit + 1)).collect()]
+                more = limit is not None and len(rows) > limit
+                rows = rows[:limit]
+                return 200, {"columns": result.columns, "rows": rows, "row_count": len(rows), "more": more, "stats": result.stats}
             return 404, {"error": f"no {method} {path}"}
         except AccessDenied as e:
             return 403, {"error": str(e)}

@@ -59,14 +59,19 @@ def read_sql(spark: SparkSession, query: str, connection, chunksize: int = 50_00
     return out if out is not None else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in names))
 
 
-def load_fact(catalog: Catalog, df: DataFrame, dims: Sequence[str], measure: str, name: str | None = None, measure_col: str | None = None, agg: str = "sum", layout: str = "cells", ordered_dims: Sequence[str] = (), cache: bool = False) -> Cube:
-    """Rows of a fact as a cube: one cell for each combination of dimension keys that occurs."""
+def load_fact(catalog: Catalog, df: DataFrame, dims: Sequence[str], measure: str, name: str | None = None, measure_col: str | None = None, agg: str = "sum", layout: str = "cells", ordered_dims: Sequence[str] = (), cache: bool = False, dtype: str = "double", with_count: bool = True) -> Cube:
+    """Rows of a fact as a cube: one cell for each combination of dimension keys that occurs.
+
+    ``dtype``: the type that values are taken as before they are added up. Without counts (``with_count``), COUNT is that of non-zero cells.
+    """
     if agg not in LOAD_AGGREGATES:
         raise ValueError(f"unknown aggregate {agg!r}; there are {', '.join(LOAD_AGGREGATES)}")
-    value = column(df, measure_col or measure).cast("double")
+    value = column(df, measure_col or measure).cast(dtype).cast("double")
     rows = df.select(*[column(df, d).alias(d) for d in dims], F.nanvl(value, F.lit(None).cast("double")).alias("value"))
     by = {"sum": F.sum("value"), "max": F.max("value"), "min": F.min("value"), "count": F.count(F.lit(1)).cast("double"), "mean": F.avg("value")}[agg]
     cells = rows.groupBy(*dims).agg(F.coalesce(by, F.lit(0.0)).alias("value"), F.count("value").alias("__count"), F.count(F.lit(1)).alias("__rows"))
+    if not with_count:
+        cells, rows = cells.drop("__count", "__rows"), None
     if cache:
         cells = cells.persist()
     for d in dims:
@@ -74,17 +79,21 @@ def load_fact(catalog: Catalog, df: DataFrame, dims: Sequence[str], measure: str
     return catalog.add_cube(Cube(name or measure, measure, list(dims), cells, rows, agg, layout, cached=cache))
 
 
-def load_dimension(catalog: Catalog, df: DataFrame, key: str, name: str | None = None, attributes: Sequence[str] = (), measures: Sequence[str] = (), ordered: bool = False) -> Dimension:
+def load_dimension(catalog: Catalog, df: DataFrame, key: str, name: str | None = None, attributes: Sequence[str] = (), measures: Sequence[str] = (), ordered: bool = False, order_by: str | None = None) -> Dimension:
     """Attributes and measures of a dimension's members; of a key that comes twice the last row stands.
 
+    The last row is that of the largest ``order_by`` (a column of ``df``), and without it the last in the order of files
+    and partitions, which is that of the rows for a frame made on the driver or read from one file.
     Measures that are missing count as 0. The table's rows are counted, so that small ones may be broadcast.
     """
     name = name or key
-    table = df.select(column(df, key).alias(name), *[column(df, a) for a in attributes], *[F.coalesce(F.nanvl(column(df, m).cast("double"), F.lit(None).cast("double")), F.lit(0.0)).alias(m) for m in measures])
+    at = column(df, order_by) if order_by else F.monotonically_increasing_id()
+    table = df.select(at.alias("__at"), column(df, key).alias(name), *[column(df, a) for a in attributes], *[F.coalesce(F.nanvl(column(df, m).cast("double"), F.lit(None).cast("double")), F.lit(0.0)).alias(m) for m in measures])
     rows = table.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce(F.col(name).cast("string"), F.lit("\0"))).alias("keys")).first()
     if rows["n"] != rows["keys"]:
         last = Window.partitionBy(name).orderBy(F.desc("__at"))
-        table = table.withColumn("__at", F.monotonically_increasing_id()).withColumn("__nth", F.row_number().over(last)).where("__nth = 1").drop("__at", "__nth")
+        table = table.withColumn("__nth", F.row_number().over(last)).where("__nth = 1").drop("__nth")
+    table = table.drop("__at")
     out = catalog.ensure_dimension(name, table, ordered)
     out.set_attributes(table, attributes, measures, rows["keys"])
     return out

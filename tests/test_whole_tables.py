@@ -11,7 +11,7 @@ VECTORS = ("elementwise_broadcast", "project_max", "product_reduce", "unit_ident
 @pytest.mark.parametrize("name", [*PAIRS, *VECTORS])
 def test_every_vector_is_read(spark, sf_dir, name):
     n = queries.table(spark, sf_dir, "embeddings").count()
-    got = queries.QUERIES[f"{name}_whole"](spark, sf_dir)
+    got = queries.QUERIES[name](spark, sf_dir)
     assert n > 60 and got.select(got.columns[0]).distinct().count() == n
     if name in PAIRS:
         assert got.count() == n * n
@@ -19,8 +19,8 @@ def test_every_vector_is_read(spark, sf_dir, name):
 
 def test_every_line_and_supplier_is_read(spark, sf_dir):
     lines = queries.table(spark, sf_dir, "lineitem")
-    cells = queries.QUERIES["cell_suppression_whole"](spark, sf_dir)
+    cells = queries.QUERIES["cell_suppression"](spark, sf_dir)
     assert cells.agg({"n": "sum"}).first()[0] == lines.count()
     assert 0 < cells.where("s IS NULL").count() == cells.where("n < 5").count()
-    pairs = queries.QUERIES["semiring_bool_whole"](spark, sf_dir)
+    pairs = queries.QUERIES["semiring_bool"](spark, sf_dir)
     assert pairs.select("supp").distinct().count() == pairs.select("other").distinct().count() == lines.select("l_suppkey").distinct().count()
