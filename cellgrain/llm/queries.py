@@ -46,7 +46,9 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    import public_tokenizers
+
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), vocabulary=public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
