@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import give_back
 
-LONG, STRETCH, STORE, LEARN = 100, 50_000, 200_000, 4_000_000
+LONG, STRETCH, STORE, LEARN = 100, 120_000, 300_000, 4_000_000
 #: DuckDB's memory in MB, and bytes more for each byte of the longest piece.
 MEMORY, MEMORY_A_BYTE = 256, 1000
 
