@@ -13,8 +13,7 @@ text has a licence, so that a line of a wrapped header doesn't speak for the hea
 A licence file (``LICENSE``, ``COPYING``, ... by its name) speaks for its directory. A document
 without a licence of its own inherits (origin ``inherited``) from the nearest directory above it that has one:
 directories, not documents, are joined with their ancestors, and documents join
-their directory's answer, so that a directory of very many files costs no more
-than its rows. Of several files in one directory the best score decides, then the name.
+their directory's answer, by joins whose hot keys (a directory of very many files, a text that recurs, the root) AQE can split. Of several files in one directory the best score decides, then the name.
 
 Only SQL functions are used. Equal units are weighed once: their words are
 taken from distinct units, so a line that very many documents share is one vector.
@@ -33,7 +32,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, let
+from .common import apart, checkpoint, let
 
 THRESHOLD = 0.55
 
@@ -151,8 +150,11 @@ def match(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     ``distinct`` has digest, unit, and ``bearers``: how many distinct texts are this unit as a whole. Their words give df.
     """
+    import pyarrow as pa
+
     spark = distinct.sparkSession
-    known = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates())], "template int, license string, text string")
+    every = templates()
+    known = spark.createDataFrame(pa.table({"template": pa.array(range(len(every)), pa.int32()), "license": [name for name, _ in every], "text": [text for _, text in every]}))
     own = known.select("template", "license", F.explode(_tokens(F.col("text"))).alias("word"))
     own = own.groupBy("template", "license", "word").agg(F.count(F.lit(1)).alias("tf"))
     # A unit's words are counted within its row: no shuffle of words for it.
@@ -164,7 +166,7 @@ def match(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     df = words.where("bearers > 0").select("word", F.col("bearers").alias("c")).unionByName(own.select("word", F.lit(1).cast("long").alias("c")))
     df = df.groupBy("word").agg(F.sum("c").alias("df"))
     weight = (1 + F.log("tf")) * (F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)) + 1)
-    weighed = words.join(df, "word").select("digest", "word", weight.alias("w"))
+    weighed = words.withColumn("at", apart("word")).join(df.select(apart("word").alias("at"), "df"), "at").select("digest", "word", weight.alias("w"))
     of_template = own.join(df, "word").select("template", "license", "word", weight.alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("template")))
     of_template = of_template.select("template", "license", "word", (F.col("v") / norm).alias("v"))
@@ -189,11 +191,12 @@ def scan(docs: DataFrame, path: Column, threshold: float = THRESHOLD, id_col: st
     found = checkpoint(found.dropDuplicates(["digest", "level", "unit_digest"]))
     distinct = found.groupBy(F.col("unit_digest").alias("digest")).agg(F.first("unit").alias("unit"), F.count_if(F.col("level") == 2).alias("bearers"))
     matched = match(checkpoint(distinct), threshold)
-    by_text = found.select("digest", "level", F.col("unit_digest").alias("unit")).join(matched, "unit").groupBy("digest")
+    by_unit = matched.select(apart("unit").alias("at"), "license", "score")
+    by_text = found.select("digest", "level", apart("unit_digest").alias("at")).join(by_unit, "at").groupBy("digest")
     by_text = by_text.agg(F.min_by(F.struct("license", "score"), _first()).alias("best")).select("digest", "best.license", "best.score")
     directory, name = _split_path(F.col("path"))
-    own = rows.select("doc_id", "path", directory.alias("directory"), name.alias("name"), key).join(by_text, "digest", "left").drop("digest")
-    own = checkpoint(own)
+    own = rows.select("doc_id", "path", directory.alias("directory"), name.alias("name"), key).withColumn("at", apart("digest")).drop("digest")
+    own = checkpoint(own.join(by_text.select(apart("digest").alias("at"), "license", "score"), "at", "left").drop("at"))
 
     files = own.where(F.col("name").rlike(LICENCE_FILE) & F.col("license").isNotNull())
     granted = files.groupBy("directory").agg(F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("given"), F.max("score").alias("given_score"))
@@ -201,9 +204,11 @@ def scan(docs: DataFrame, path: Column, threshold: float = THRESHOLD, id_col: st
     parts = F.split("directory", "/")
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("ancestor")))
     up = asking.select("directory", F.inline(ancestors)).where((F.col("depth") > 0) | (F.col("ancestor") == "")).distinct()
-    nearest = up.join(granted.withColumnRenamed("directory", "ancestor"), "ancestor").groupBy("directory")
+    # The root is an ancestor of very many directories.
+    giving = granted.select(apart("directory").alias("at"), "given", "given_score")
+    nearest = up.withColumn("at", apart("ancestor")).join(giving, "at").groupBy("directory")
     nearest = nearest.agg(F.max(F.struct("depth", "ancestor", "given", "given_score")).alias("up"))
-    out = own.join(nearest, "directory", "left")
+    out = own.withColumn("at", apart("directory")).join(nearest.select(apart("directory").alias("at"), "up"), "at", "left")
     is_file = F.col("name").rlike(LICENCE_FILE)
     has = F.col("license").isNotNull()
     origin = F.when(has & is_file, "file").when(has, "header").when(F.col("up").isNotNull(), "inherited")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, fingerprint, licenses, mixing, ngram_join, pii, secrets, toxicity, url_filter
@@ -39,10 +39,22 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def stand_in_path(text: Column, doc_id: Column) -> Column:
+    """A path for a table without paths: source/lang/ten thousands of the id/thousands of the id/name.
+
+    Of the documents that bear a licence's words, those whose id ends in 0 are the licence files of the upper of the two directories
+    of numbers, those whose id ends in 5 of the lower one; all others are texts named by their id. So the paths hold licence files on
+    two levels, directories without one of their own, and directories with none above them.
+    """
+    bears, last = F.coalesce(text.rlike(licenses.TRIGGER), F.lit(False)), F.pmod(doc_id, F.lit(10))
+    upper, lower = F.floor(doc_id / 10_000).cast("string"), F.floor(doc_id / 1000).cast("string")
+    name = F.when(bears & last.isin(0, 5), F.lit("LICENSE")).otherwise(F.concat(doc_id.cast("string"), F.lit(".txt")))
+    return F.concat_ws("/", "source", "lang", upper, F.when(~(bears & (last == 0)), lower), name)
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table has no paths; source, language and id stand for them. None names a licence file, so nothing is inherited."""
     docs = documents(spark, sf_dir)
-    return licenses.scan(docs, F.concat_ws("/", "source", "lang", "doc_id"))
+    return licenses.scan(docs, stand_in_path(F.col("text"), F.col("doc_id")))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
