@@ -1,15 +1,22 @@
 """Secret scan by rules and by character Markov models, in SQL functions alone.
 
-Base rules find assignments, access keys and hexadecimal strings. Beside them, runs of 20
+Base rules find assignments, access keys and hexadecimal strings. Beside them, runs of ``SHORTEST``
 and more characters of the base64 alphabets are scored under two first-order Markov models,
 one of random strings and one of ordinary identifiers, both trained from labelled samples;
 where the log-likelihood ratio passes ``THRESHOLD`` and no base span overlaps, the run
 is a span of kind ``random``.
 
+Training strings come from two sources: digests and identifiers of listed words (``default_sample``), and the table itself
+(``table_sample``): what the base rules mark in about ``SAMPLE_DOCS`` of its documents is random (but for mere numbers, such as
+those of cards), their other long words are ordinary. So the models know the words of the table's own languages.
+
 The models are bigram counts with add-one smoothing. They are gathered once from the sample
 (at most 128 x 128 counts come to the driver) and enter the plan as one constant array.
 There is no join, shuffle or Python in the scan itself.
 
+Runs below ``SHORTEST`` are never scored: even random ones seldom reach the threshold there, so lowering the parameter adds
+few spans and many runs to score (README has the share that is found by length).
+
 Defined results: a null text counts as empty and has no spans; repeated rows are
 scanned each; an empty table gives an empty result; no other column is read.
 """
@@ -27,11 +34,18 @@ from .common import let, regex_spans
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # whole runs of 16 and more are what is left of all runs once short ones are dropped
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ("assign", "access", "hex", "random")
 
 THRESHOLD = math.log(1e4)
-SAMPLE_ROWS, SEED = 4000, "s1"
+SAMPLE_ROWS, SAMPLE_DOCS, SEED = 4000, 2000, "s1"
+#: Characters of the shortest run that the models score.
+SHORTEST = 16
+
+
+def candidate(shortest: int = SHORTEST) -> str:
+    """Whole runs of the base64 alphabets of so many characters at least."""
+    return rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{shortest},}}+"
+
 
 # Words of which ordinary identifiers are made.
 IDENTIFIER_WORDS = """
@@ -73,6 +87,20 @@ def default_sample(spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
     return random.unionByName(ordinary)
 
 
+def table_sample(docs: DataFrame, docs_wanted: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Labelled strings of a table: (text, random). From about so many documents, by seeded hash, each different string once."""
+    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"), F.col(id_col).alias("id"))
+    part = docs_wanted / max(1, docs.count())
+    some = rows.where(F.pmod(F.xxhash64(F.lit(SEED), "id", "body"), F.lit(1 << 30)) < F.lit(int(min(1.0, part) * (1 << 30))))
+    marked = F.concat(F.regexp_extract_all("body", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("body", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("body", F.lit(HEX), F.lit(0)))
+    words = F.regexp_extract_all("body", F.lit(r"(?<![A-Za-z0-9])[A-Za-z][a-z]{7,}(?![A-Za-z0-9])"), F.lit(0))
+    strings = F.concat(
+        F.transform(F.filter(marked, lambda x: (F.length(x) >= SHORTEST) & x.rlike("[A-Za-z]")), lambda x: F.struct(x.alias("text"), F.lit(True).alias("random"))),
+        F.transform(words, lambda x: F.struct(x.alias("text"), F.lit(False).alias("random"))),
+    )
+    return some.select(F.inline(strings)).distinct()
+
+
 def train(sample: DataFrame) -> list[float]:
     """Log-likelihood ratio of each pair of ASCII characters, at 128 * first + second."""
     codes = F.transform(F.split("text", ""), lambda c: F.ascii(c))
@@ -109,9 +137,11 @@ def joined(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, sample: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, sample: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """doc_id and, for each kind of ``KINDS``, an array of its spans: struct(start, end, match, group)."""
-    table = train(default_sample(docs.sparkSession) if sample is None else sample)
+    if sample is None:
+        sample = default_sample(docs.sparkSession).unionByName(table_sample(docs, id_col=id_col, text_col=text_col))
+    table = train(sample)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     body = F.col("body")
     rows = rows.select(
@@ -119,7 +149,7 @@ def scan(docs: DataFrame, sample: DataFrame | None = None, id_col: str = "doc_id
         F.filter(regex_spans(body, ASSIGN, 2), lambda x: F.length(x["group"]) >= 12).alias("assign"),
         F.filter(regex_spans(body, ACCESS), lambda x: F.length(x["match"]) >= 18).alias("access"),
         regex_spans(body, HEX).alias("hex"),
-        F.filter(regex_spans(body, CANDIDATE), lambda x: ratio(x["match"], table) >= THRESHOLD).alias("candidates"),
+        F.filter(regex_spans(body, candidate(shortest)), lambda x: ratio(x["match"], table) >= THRESHOLD).alias("candidates"),
     )
     # Only rows with candidates that pass compare them with the base spans.
     base = F.concat("assign", "access", "hex")
