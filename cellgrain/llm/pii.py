@@ -11,7 +11,8 @@ no stronger span overlaps, the span is added under a kind of its own.
 The trees are trained here, on a generated labelled sample (``sample``): spans in sentences
 with and without personal data of the same shapes (part numbers, versions, amounts, dates).
 A held-out part of it fits the calibration (Platt) and the thresholds, the least ones whose
-precision there is ``PRECISION`` or more. Model and sample have a fixed size.
+precision there is ``PRECISION`` or more. Model and sample have a fixed size; the model is trained on the
+driver, so that all tasks use the same numbers, and broadcast.
 
 Base matching looks for leftmost non-overlapping matches, failing ones dropped without a
 retry, in one pass for each kind whatever the text's length; offsets are in code points.
@@ -298,9 +299,11 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans: array of struct(kind, start, end), sorted by start and kind."""
 
+    known = docs.sparkSession.sparkContext.broadcast(model())  # trained once, on the driver; some KB
+
     @F.pandas_udf("array<struct<kind:string,start:int,end:int>>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = model()  # trained once in a Python worker, the same everywhere
+        own = known.value
         for texts in batches:
             yield pd.Series([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in own.spans(t)] for t in texts])
 
@@ -323,9 +326,11 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the text with every span replaced by its kind in brackets; overlapping spans by that which starts first."""
 
+    known = docs.sparkSession.sparkContext.broadcast(model())
+
     @F.pandas_udf("string")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = model()
+        own = known.value
         for texts in batches:
             out = []
             for t in texts:
