@@ -18,7 +18,7 @@ from .sources import loaders, store
 class Engine:
     """A catalog, a session, and compiled queries.
 
-    ``cache`` keeps cell tables in executor memory (spilling to disk) once they are first read.
+    ``cache`` keeps cell and dimension tables in executor memory (spilling to disk) once they are first read.
     """
 
     def __init__(self, spark: SparkSession, catalog: c.Catalog | None = None, cache: bool = False):
@@ -50,7 +50,7 @@ class Engine:
 
     def load_dimension(self, data, key: str, name: str | None = None, **options) -> c.Dimension:
         self._plans.clear()
-        return loaders.load_dimension(self.catalog, loaders.to_frame(self.spark, data), key, name, **options)
+        return loaders.load_dimension(self.catalog, loaders.to_frame(self.spark, data), key, name, **{"cache": self.cache} | options)
 
     def add_hierarchy(self, child: str, parent: str, mapping, parent_ordered: bool = False) -> c.Hierarchy:
         self._plans.clear()

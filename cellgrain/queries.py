@@ -38,14 +38,14 @@ def _year(quarter):
     return F.substring(quarter, 1, 4).cast("int")
 
 
-def star(spark: SparkSession, sf_dir: str, *parts: str, cache: bool = False) -> Engine:
-    """An engine with the parts that a query needs."""
+def star(spark: SparkSession, sf_dir: str, *parts: str, cache: bool = False, cluster_by: str | None = None) -> Engine:
+    """An engine with the parts that a query needs; ``cluster_by`` lays out lineitem's cached cells."""
     e = Engine(spark, cache=cache)
     lineitem_dims = ["l_suppkey", "l_partkey", "l_returnflag", "l_linestatus", "ship_day"]
     for part in parts:
         if part in ("lineitem", "extended"):
             lines = table(spark, sf_dir, "lineitem").withColumn("ship_day", F.to_date("l_shipdate"))
-            e.load_frame(lines, lineitem_dims, "l_quantity" if part == "lineitem" else "l_extendedprice", part)
+            e.load_frame(lines, lineitem_dims, "l_quantity" if part == "lineitem" else "l_extendedprice", part, cluster_by=cluster_by)
         elif part == "orders":
             orders = table(spark, sf_dir, "orders").withColumn("order_day", F.to_date("o_orderdate"))
             e.load_frame(orders, ["o_custkey", "o_orderstatus", "o_orderpriority", "order_day"], "o_totalprice", "orders")

@@ -59,17 +59,22 @@ def read_sql(spark: SparkSession, query: str, connection, chunksize: int = 50_00
     return out if out is not None else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in names))
 
 
-def load_fact(catalog: Catalog, df: DataFrame, dims: Sequence[str], measure: str, name: str | None = None, measure_col: str | None = None, agg: str = "sum", layout: str = "cells", ordered_dims: Sequence[str] = (), cache: bool = False, dtype: str = "double", with_count: bool = True) -> Cube:
+def load_fact(catalog: Catalog, df: DataFrame, dims: Sequence[str], measure: str, name: str | None = None, measure_col: str | None = None, agg: str = "sum", layout: str = "cells", ordered_dims: Sequence[str] = (), cache: bool = False, dtype: str = "double", with_count: bool = True, cluster_by: str | None = None) -> Cube:
     """Rows of a fact as a cube: one cell for each combination of dimension keys that occurs.
 
     ``dtype``: the type that values are taken as before they are added up. Without counts (``with_count``), COUNT is that of non-zero cells.
+    ``cluster_by``: a dimension by whose keys cached cells are laid out, so that groups by it, and by it and others, need no shuffle. For
+    dimensions without hot keys: all cells of one key stand in one partition.
     """
     if agg not in LOAD_AGGREGATES:
         raise ValueError(f"unknown aggregate {agg!r}; there are {', '.join(LOAD_AGGREGATES)}")
     value = column(df, measure_col or measure).cast(dtype).cast("double")
     rows = df.select(*[column(df, d).alias(d) for d in dims], F.nanvl(value, F.lit(None).cast("double")).alias("value"))
     by = {"sum": F.sum("value"), "max": F.max("value"), "min": F.min("value"), "count": F.count(F.lit(1)).cast("double"), "mean": F.avg("value")}[agg]
-    cells = rows.groupBy(*dims).agg(F.coalesce(by, F.lit(0.0)).alias("value"), F.count("value").alias("__count"), F.count(F.lit(1)).alias("__rows"))
+    if cluster_by is not None and cluster_by not in dims:
+        raise KeyError(f"{cluster_by!r} is none of {', '.join(dims)}")
+    laid = rows.repartition(F.col(f"`{cluster_by}`")) if cluster_by and cache else rows
+    cells = laid.groupBy(*dims).agg(F.coalesce(by, F.lit(0.0)).alias("value"), F.count("value").alias("__count"), F.count(F.lit(1)).alias("__rows"))
     if not with_count:
         cells, rows = cells.drop("__count", "__rows"), None
     if cache:
@@ -79,7 +84,7 @@ def load_fact(catalog: Catalog, df: DataFrame, dims: Sequence[str], measure: str
     return catalog.add_cube(Cube(name or measure, measure, list(dims), cells, rows, agg, layout, cached=cache))
 
 
-def load_dimension(catalog: Catalog, df: DataFrame, key: str, name: str | None = None, attributes: Sequence[str] = (), measures: Sequence[str] = (), ordered: bool = False, order_by: str | None = None) -> Dimension:
+def load_dimension(catalog: Catalog, df: DataFrame, key: str, name: str | None = None, attributes: Sequence[str] = (), measures: Sequence[str] = (), ordered: bool = False, order_by: str | None = None, cache: bool = False) -> Dimension:
     """Attributes and measures of a dimension's members; of a key that comes twice the last row stands.
 
     The last row is that of the largest ``order_by`` (a column of ``df``), and without it the last in the order of files
@@ -94,6 +99,8 @@ def load_dimension(catalog: Catalog, df: DataFrame, key: str, name: str | None =
         last = Window.partitionBy(name).orderBy(F.desc("__at"))
         table = table.withColumn("__nth", F.row_number().over(last)).where("__nth = 1").drop("__nth")
     table = table.drop("__at")
+    if cache:
+        table = table.persist()
     out = catalog.ensure_dimension(name, table, ordered)
     out.set_attributes(table, attributes, measures, rows["keys"])
     return out

@@ -70,3 +70,31 @@ def test_jdbc(spark, tmp_path, monkeypatch):
     assert e.sql("SELECT A, SUM(V) AS s FROM f GROUP BY A").rows == [(0, 18.0), (1, 11.0), (2, 13.0)]
     e.load_sql("SELECT A, V FROM F", url, ["A"], "V", "g")
     assert e.sql("SELECT COUNT(*) AS n FROM g").rows == [(10,)]
+
+
+def test_cells_laid_out_by_a_dimension_spare_the_shuffle(spark):
+    rows = spark.range(500).selectExpr("id % 7 AS a", "id % 11 AS b", "CAST(id AS DOUBLE) AS v")
+    query = "SELECT a, b, SUM(v) AS s FROM f GROUP BY a, b"
+    plain, laid = Engine(spark), Engine(spark, cache=True)
+    plain.load_frame(rows, ["a", "b"], "v", "f")
+    laid.load_frame(rows, ["a", "b"], "v", "f", cluster_by="a")
+    assert laid.sql(query).rows == plain.sql(query).rows
+    result = laid.frame(query)
+    result.collect()
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("InMemoryRelation")[0]
+    with pytest.raises(KeyError):
+        laid.load_frame(rows, ["a", "b"], "v", "g", cluster_by="c")
+
+
+def test_paging_and_order_of_a_service(spark):
+    from cellgrain.rest import Service
+
+    e = Engine(spark)
+    e.load_frame({"k": [3, 1, 2], "v": [1.0, 2.0, 3.0]}, ["k"], "v", "f")
+    service, ask = Service(e), {"sql": "SELECT k, SUM(v) AS s FROM f GROUP BY k"}
+    assert service.handle("POST", "/query", ask)[1]["rows"] == [[1, 2.0], [2, 3.0], [3, 1.0]]
+    page = service.handle("POST", "/query", ask | {"limit": 1, "offset": 1})[1]
+    assert page["rows"] == [[2, 3.0]] and page["more"]
+    assert not service.handle("POST", "/query", ask | {"limit": 5, "offset": 2})[1]["more"]
+    assert service.handle("POST", "/query", ask | {"limit": -1})[0] == 400
