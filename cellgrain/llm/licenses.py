@@ -166,7 +166,8 @@ def match(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     df = words.where("bearers > 0").select("word", F.col("bearers").alias("c")).unionByName(own.select("word", F.lit(1).cast("long").alias("c")))
     df = df.groupBy("word").agg(F.sum("c").alias("df"))
     weight = (1 + F.log("tf")) * (F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)) + 1)
-    weighed = words.withColumn("at", apart("word")).join(df.select(apart("word").alias("at"), "df"), "at").select("digest", "word", weight.alias("w"))
+    weighed = words.select("digest", "tf", apart("word").alias("at")).join(df.select(apart("word").alias("at"), "df"), "at")
+    weighed = weighed.select("digest", F.col("at.k0").alias("word"), weight.alias("w"))
     of_template = own.join(df, "word").select("template", "license", "word", weight.alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("template")))
     of_template = of_template.select("template", "license", "word", (F.col("v") / norm).alias("v"))
@@ -185,9 +186,9 @@ def _split_path(path: Column) -> tuple[Column, Column]:
 def scan(docs: DataFrame, path: Column, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, path, license, score, origin (header, file, inherited or null) and origin_directory, a row for each document."""
     rows = docs.select(F.col(id_col).alias("doc_id"), path.cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    key = F.sha2(F.col("text"), 256).alias("digest")
+    key = F.unhex(F.sha2(F.col("text"), 256)).alias("digest")
     # Units hang on the text, so a text that recurs is looked through in each task but weighed once.
-    found = units(rows.select(key, "text"), "digest").select("digest", "level", "unit", F.sha2("unit", 256).alias("unit_digest"))
+    found = units(rows.select(key, "text"), "digest").select("digest", "level", "unit", F.unhex(F.sha2("unit", 256)).alias("unit_digest"))
     found = checkpoint(found.dropDuplicates(["digest", "level", "unit_digest"]))
     distinct = found.groupBy(F.col("unit_digest").alias("digest")).agg(F.first("unit").alias("unit"), F.count_if(F.col("level") == 2).alias("bearers"))
     matched = match(checkpoint(distinct), threshold)
