@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -349,15 +353,49 @@ def rollup_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star(spark, sf_dir, "orders", "order_calendar").catalog.rollup("order_day", "order_year")
 
 
+def _derby(spark: SparkSession, nation: DataFrame) -> str:
+    """The JDBC url of a database with table NATION that any JVM can read at once.
+
+    Several JVMs can't open one embedded database, unless it is read-only and in a jar: the driver fills it (rows pass one by one)
+    and puts the jar into the shared folder, which must be one that executors see as a local path.
+    """
+    jvm, drivers = spark._jvm, spark._jvm.java.sql.DriverManager
+    jvm.System.setProperty("derby.stream.error.file", "/dev/null")
+    folder = jvm.org.apache.hadoop.fs.Path(scratch(spark, "database"))
+    to = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if to.getScheme() != "file":
+        raise ValueError(f"an embedded database can't be read from {folder.toString()}")
+    with tempfile.TemporaryDirectory() as own:
+        base = f"{os.path.realpath(own)}/nation"
+        con = drivers.getConnection(f"jdbc:derby:{base};create=true")
+        con.createStatement().execute("CREATE TABLE NATION (R INT, N VARCHAR(32672), K INT)")
+        put = con.prepareStatement("INSERT INTO NATION VALUES (?, ?, ?)")
+        for row in nation.toLocalIterator():
+            for i, value in enumerate(row, 1):
+                put.setNull(i, jvm.java.sql.Types.VARCHAR if i == 2 else jvm.java.sql.Types.INTEGER) if value is None else put.setString(i, value) if i == 2 else put.setInt(i, value)
+            put.executeUpdate()
+        con.close()
+        try:
+            drivers.getConnection(f"jdbc:derby:{base};shutdown=true")
+        except Py4JJavaError as e:  # Derby's way to say that it is done
+            if e.java_exception.getSQLState() != "08006":
+                raise
+        with zipfile.ZipFile(f"{own}/nation.jar", "w") as jar:
+            for at, _, names in os.walk(base):
+                for x in names:
+                    if not x.endswith(".lck"):
+                        jar.write(f"{at}/{x}", os.path.relpath(f"{at}/{x}", os.path.dirname(base)))
+        to.mkdirs(folder)
+        to.copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(f"file://{os.path.dirname(base)}/nation.jar"), folder)
+    return f"jdbc:derby:jar:({to.makeQualified(folder).toUri().getPath()}/nation.jar)nation"
+
+
 @_register("jdbc_scan", "SELECT n_regionkey, count(*) AS n, CAST(sum(n_nationkey) AS DOUBLE) AS s FROM nation GROUP BY ALL")
 def jdbc_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a database query by JDBC: an embedded database that executors read (in one process with them here, as its tables are in memory)."""
-    name = uuid.uuid4().hex
-    spark._jvm.System.setProperty("derby.stream.error.file", "/dev/null")
-    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("R"), F.col("n_name").alias("N"), F.col("n_nationkey").alias("K"))
-    nation.write.jdbc(f"jdbc:derby:memory:{name};create=true", "NATION")
+    """Rows of a database query by JDBC, read by the executors."""
+    url = _derby(spark, table(spark, sf_dir, "nation").select("n_regionkey", "n_name", "n_nationkey"))
     e = Engine(spark)
-    e.load_sql(f"jdbc:derby:memory:{name}", "SELECT R, N, K FROM NATION", ["R", "N"], "K", "nations")
+    e.load_sql(url, "SELECT R, N, K FROM NATION", ["R", "N"], "K", "nations")
     return e.frame("SELECT R AS n_regionkey, COUNT(*) AS n, SUM(K) AS s FROM nations GROUP BY R").withColumn("n_regionkey", F.col("n_regionkey").cast("int"))
 
 
