@@ -328,7 +328,7 @@ _vectors("product_reduce", f"SELECT vec, round(product(1 + v / 10), 4) AS value
 _tensor("indicator", f"SELECT supp, flag, 1.0 AS value FROM {_S} WHERE v <> 0", lambda s, d: _supply(s, d).indicator())
 _tensor("rollup_max", f"SELECT CASE WHEN flag = 'A' THEN 'x' ELSE 'y' END AS half, supp, round(max(v), 2) AS value FROM {_S} GROUP BY ALL", lambda s, d: _supply(s, d).rollup("flag", "half", {"A": "x", "N": "y", "R": "y"}, "max"))
 _tensor("tensor_count_distinct", f"SELECT flag, CAST(count(DISTINCT supp) AS DOUBLE) AS value FROM {_S} WHERE v <> 0 GROUP BY ALL", lambda s, d: _supply(s, d).count_distinct("supp", ("flag",)))
-_vectors("semiring_max_prod", f"SELECT a.vec, b.vec AS other, round(max(abs(a.v) * abs(b.v)), 4) AS value FROM {_E} a JOIN {_E} b USING (k) GROUP BY ALL", lambda e: (lambda t: t.product(t.rename(vec="other"), ring="max-prod", check=True))(_absolute(e())), 4)
+_vectors("semiring_max_prod", f"SELECT a.vec, b.vec AS other, round(max(abs(a.v) * abs(b.v)), 4) AS value FROM {_E} a JOIN {_E} b USING (k) GROUP BY ALL", lambda e: (lambda t: t.product(t.rename(vec="other"), ring="max-prod", check=True, blocks=True))(_absolute(e())), 4, rounded_pairs)
 _vectors("semiring_min_plus", f"SELECT a.vec, b.vec AS other, round(min(a.v + b.v), 4) AS value FROM {_E} a JOIN {_E} b USING (k) GROUP BY ALL", lambda e: e().product(e().rename(vec="other"), ring="min-plus"), 4)
 _tensor("semiring_bool", f"SELECT a.supp, b.supp AS other, 1.0 AS value FROM {_S} a JOIN {_S} b USING (flag) GROUP BY ALL", lambda s, d: (lambda t: t.product(t.rename(supp="other"), ring="bool-or-and"))(_supply(s, d).indicator()))
 _vectors("unit_identity", f"SELECT vec, k2, round(v, 4) AS value FROM (SELECT vec, k AS k2, v FROM {_E})", lambda e: e().product(Tensor.unit(e().df.sparkSession, {"k": ("k2", 64)})), 4)
