@@ -330,7 +330,7 @@ _tensor("rollup_max", f"SELECT CASE WHEN flag = 'A' THEN 'x' ELSE 'y' END AS hal
 _tensor("tensor_count_distinct", f"SELECT flag, CAST(count(DISTINCT supp) AS DOUBLE) AS value FROM {_S} WHERE v <> 0 GROUP BY ALL", lambda s, d: _supply(s, d).count_distinct("supp", ("flag",)))
 _vectors("semiring_max_prod", f"SELECT a.vec, b.vec AS other, round(max(abs(a.v) * abs(b.v)), 4) AS value FROM {_E} a JOIN {_E} b USING (k) GROUP BY ALL", lambda e: (lambda t: t.product(t.rename(vec="other"), ring="max-prod", check=True, blocks=True))(_absolute(e())), 4, rounded_pairs)
 _vectors("semiring_min_plus", f"SELECT a.vec, b.vec AS other, round(min(a.v + b.v), 4) AS value FROM {_E} a JOIN {_E} b USING (k) GROUP BY ALL", lambda e: e().product(e().rename(vec="other"), ring="min-plus", blocks=True), 4, rounded_pairs)
-_tensor("semiring_bool", f"SELECT a.supp, b.supp AS other, 1.0 AS value FROM {_S} a JOIN {_S} b USING (flag) GROUP BY ALL", lambda s, d: (lambda t: t.product(t.rename(supp="other"), ring="bool-or-and"))(_supply(s, d).indicator()))
+_tensor("semiring_bool", f"SELECT a.supp, b.supp AS other, 1.0 AS value FROM {_S} a JOIN {_S} b USING (flag) GROUP BY ALL", lambda s, d: (lambda t: t.product(t.rename(supp="other"), ring="bool-or-and", blocks=True))(_supply(s, d).indicator()), by=rounded_pairs)
 _vectors("unit_identity", f"SELECT vec, k2, round(v, 4) AS value FROM (SELECT vec, k AS k2, v FROM {_E})", lambda e: e().product(Tensor.unit(e().df.sparkSession, {"k": ("k2", 64)})), 4)
 _vectors("weighted_window", f"SELECT a.vec, w.t AS k, round(sum(a.v * w.w), 4) AS value FROM {_E} a JOIN (SELECT i AS f, j AS t, 1.0 / (1 + j - i) AS w FROM range(64) x(i), range(64) y(j) WHERE j - i BETWEEN 0 AND 3) w ON a.k = w.f GROUP BY ALL", lambda e: e().weighted_window("k", [[1.0 / (1 + j - i) if 0 <= j - i <= 3 else 0.0 for j in range(64)] for i in range(64)]), 4)
 _vectors("tensor_running", f"SELECT a.vec, CAST(j AS BIGINT) AS k, round(sum(a.v), 4) AS value FROM {_E} a JOIN range(64) y(j) ON a.k <= j AND a.k >= j - 4 GROUP BY ALL", lambda e: e().running("k", 4), 4)

@@ -13,7 +13,7 @@ def test_rounding_of_pairs(spark):
     assert repr(got) == repr(want)
 
 
-@pytest.mark.parametrize("name", ["contract_matmul", "positional_product", "semiring_max_prod", "semiring_min_plus"])
+@pytest.mark.parametrize("name", ["contract_matmul", "positional_product", "semiring_max_prod", "semiring_min_plus", "semiring_bool"])
 def test_pairs_are_made_once(spark, sf_dir, name):
     """A join has a row for each pair and summed key, gathered by a shuffle of the pairs."""
     df = queries.QUERIES[name](spark, sf_dir)
